@@ -23,19 +23,21 @@ SCORE_COLUMNS = ("AJI", "AJI_plus", "DICE2", "PQ", "SQ", "DQ", "inst_recall", "i
 
 
 def joint_counts(pixels: DataFrame, keys=("image_id",), true: str = "true_id", pred: str = "pred_id") -> DataFrame:
-    """(keys, t, p, n): pixels per pair of labels; a missing label is background.
+    """(keys, t, p, n, both): pixels per pair of labels; a missing label is background.
 
-    Labels are made non-null, so every branch built on this table keeps the same exchange and Spark reuses it.
+    Labels are made non-null, and `both` repeats n where neither side is background. Branches filter on such aggregates
+    instead of on t and p: filters on grouping keys would sink below the aggregate, differ per branch, and make Spark
+    scan the pixels once per branch instead of reusing one exchange.
     """
     return (pixels.select(*keys, F.coalesce(F.col(true), F.lit(0)).alias("t"), F.coalesce(F.col(pred), F.lit(0)).alias("p"))
-            .groupBy(*keys, "t", "p").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*keys, "t", "p")
+            .agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("t") > 0) & (F.col("p") > 0), 1)).alias("both")))
 
 
 def areas(joint: DataFrame, side: str, keys=("image_id",)) -> DataFrame:
-    """(keys, id, area, hit): pixels per label of one side, and how many of them meet a label of the other side."""
-    other = "p" if side == "t" else "t"
+    """(keys, id, area): pixels per label of one side, null for background."""
     return (joint.groupBy(*keys, side)
-            .agg(F.sum("n").alias("area"), F.sum(F.when(F.col(other) > 0, F.col("n")).otherwise(0)).alias("hit")))
+            .agg(F.sum(F.when(F.col(side) > 0, F.col("n"))).alias("area")))
 
 
 def overlaps(pixels: DataFrame, keys=("image_id",), true: str = "true_id", pred: str = "pred_id") -> DataFrame:
@@ -49,8 +51,7 @@ def pair_table(joint: DataFrame, keys=("image_id",)) -> DataFrame:
     t = areas(joint, "t", keys).select(*keys, "t", F.col("area").alias("t_area"))
     p = areas(joint, "p", keys).select(*keys, "p", F.col("area").alias("p_area"))
     return (joint.join(t, [*keys, "t"]).join(p, [*keys, "p"])
-            .filter((F.col("t") > 0) & (F.col("p") > 0))
-            .select(*keys, "t", "p", F.col("n").alias("inter"), "t_area", "p_area"))
+            .filter("both > 0").select(*keys, "t", "p", F.col("both").alias("inter"), "t_area", "p_area"))
 
 
 def iou(eps: float = 0.0) -> Column:
@@ -76,12 +77,9 @@ def _counts(joint: DataFrame, keys) -> list[DataFrame]:
     out = []
     for side in ("t", "p"):
         a = areas(joint, side, keys)
-        area = F.when(F.col(side) > 0, F.col("area"))
-        out.append(a.groupBy(*keys).agg(
-            F.sum((F.col(side) > 0).cast("long")).alias(f"n_{side}"),
-            F.sum(area).alias(f"area_{side}"),
-            F.sum(F.when((F.col(side) > 0) & (F.col("hit") == 0), F.col("area"))).alias(f"lonely_{side}"),
-            F.sum(area * F.log2(area)).alias(f"xlog_{side}")))
+        area = F.col("area")
+        out.append(a.groupBy(*keys).agg(F.count(area).alias(f"n_{side}"), F.sum(area).alias(f"area_{side}"),
+                                        F.sum(area * F.log2(area)).alias(f"xlog_{side}")))
     return out
 
 
@@ -120,7 +118,7 @@ def _aji_part(best: DataFrame, joint: DataFrame, keys, prefix: str) -> DataFrame
     chosen = best.groupBy(*keys).agg(F.sum("inter").alias(f"{prefix}_i"), F.sum("union").alias(f"{prefix}_u"))
     rest = []
     for side, used in (("t", used_t), ("p", used_p)):
-        rest.append(areas(joint, side, keys).filter(F.col(side) > 0).join(used, [*keys, side], "left_anti")
+        rest.append(areas(joint, side, keys).filter("area is not null").join(used, [*keys, side], "left_anti")
                     .groupBy(*keys).agg(F.sum("area").alias(f"{prefix}_u")))
     return _sums(keys, chosen, *rest)
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .sqlkit import Catalog
 
-SECTIONS = ("scores",)
+SECTIONS = ("scores", "masks")
 
 
 def full_catalog() -> Catalog:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .sqlkit import Catalog
 
-SECTIONS = ("scores", "masks")
+SECTIONS = ("scores", "masks", "rasters", "training")
 
 
 def full_catalog() -> Catalog:

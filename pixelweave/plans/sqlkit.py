@@ -75,7 +75,7 @@ FROM rects""",
 
 def sql(body: str, **ctes: str) -> str:
     """Put the derived tables a query names in front of it; `ctes` are further tables, in order."""
-    tail = "".join(ctes.values()) + body
+    tail = " ".join([*ctes.values(), body])
     if body.strip().upper().startswith("WITH "):
         own = body.strip()[5:]
         lead = ", "

@@ -48,17 +48,21 @@ def _neighbour_roots(layer: np.ndarray, y: np.ndarray, x: np.ndarray, diagonal:
             root = up
 
 
-def connected_pixels(pixels: DataFrame, keys: Iterable[str] = ("image_id",), layer: str | None = None,
+def _names(layer: str | list[str] | None) -> list[str]:
+    return [layer] if isinstance(layer, str) else list(layer or [])
+
+
+def connected_pixels(pixels: DataFrame, keys: Iterable[str] = ("image_id",), layer: str | list[str] | None = None,
                      connectivity: int = 1, block: int = BLOCK) -> DataFrame:
     """(keys, layer, y, x, root): root is the position of the raster-first pixel of the component."""
     keys = list(keys)
-    lay = [layer] if layer else []
+    lay = _names(layer)
     diagonal = connectivity > 1
 
     def label_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*lay, "y", "x"], ignore_index=True)
         y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
-        code = pd.factorize(pdf[layer])[0].astype(np.int64) if layer else np.zeros(len(pdf), np.int64)
+        code = pdf.groupby(lay, sort=False).ngroup().to_numpy(np.int64) if lay else np.zeros(len(pdf), np.int64)
         root = _neighbour_roots(code, y, x, diagonal)
         pdf["root"] = y[root] * ROW + x[root]
         return pdf.drop(columns=["_by", "_bx"])
@@ -87,23 +91,23 @@ def connected_pixels(pixels: DataFrame, keys: Iterable[str] = ("image_id",), lay
             .select(*keys, *lay, "y", "x", F.coalesce("_r", "root").alias("root")))
 
 
-def label(pixels: DataFrame, keys=("image_id",), layer: str | None = None, connectivity: int = 1,
+def label(pixels: DataFrame, keys=("image_id",), layer: str | list[str] | None = None, connectivity: int = 1,
           min_size: int = 0, block: int = BLOCK, out: str = "label") -> DataFrame:
     """(keys, layer, y, x, label): components numbered from 1 by raster order of their first pixel.
 
     Numbers run within keys and layer. Components under `min_size` pixels are left out before numbering.
     """
-    keys = [*keys, *([layer] if layer else [])]
-    comp = connected_pixels(pixels, keys if layer is None else keys[:-1], layer, connectivity, block)
+    comp = connected_pixels(pixels, keys, layer, connectivity, block)
+    keys = [*keys, *_names(layer)]
     sizes = comp.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size)
     numbers = dense_number(sizes, keys, "root", ROW * 64, out)
     return comp.join(numbers, [*keys, "root"]).select(*keys, "y", "x", out)
 
 
 def remove_small_components(pixels: DataFrame, min_size: int = 64, keys=("image_id",), connectivity: int = 1,
-                            layer: str | None = None) -> DataFrame:
+                            layer: str | list[str] | None = None) -> DataFrame:
     """Pixels of a sparse boolean map (or of each layer) whose component has at least `min_size` pixels."""
-    ks = [*keys, *([layer] if layer else [])]
+    ks = [*keys, *_names(layer)]
     if min_size == 0:
         return pixels.select(*ks, "y", "x")
     comp = connected_pixels(pixels, keys, layer, connectivity)

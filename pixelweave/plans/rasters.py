@@ -195,7 +195,7 @@ def kernel_sql(kernel) -> str:
 def conv_sql(src: str, column: str, kernel: str) -> str:
     """Correlation with edge replication: padded cells are sent to the cells they serve."""
     edge = "SELECT p, CAST(greatest(0, least(63, p)) AS INTEGER) AS q FROM (SELECT unnest(range(-3, 67)) AS p) u"
-    return f"""SELECT image_id, y - dy AS y, x - dx AS x, sum(w * v) AS v FROM
+    return f"""SELECT image_id, CAST(y - dy AS INTEGER) AS y, CAST(x - dx AS INTEGER) AS x, sum(w * v) AS v FROM
         (SELECT i.image_id, a.p AS y, b.p AS x, i.{column} AS v FROM {src} i JOIN ({edge}) a ON a.q = i.y JOIN ({edge}) b ON b.q = i.x) big
         CROSS JOIN {kernel} WHERE y - dy BETWEEN 0 AND 63 AND x - dx BETWEEN 0 AND 63 GROUP BY image_id, y - dy, x - dx"""
 
@@ -214,7 +214,7 @@ add("sobel_hv_filter", lambda s, d: line_sums(filters.filter2d(fx.image_pixels(s
 add("local_mean", lambda s, d: line_sums(filters.local_mean(fx.image_pixels(s, d), ["prob"], 4, H, W), ["prob"]),
     sql(line_sums_sql("q", ["prob"]), off="SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-4, 5)) AS i) a CROSS JOIN (SELECT unnest(range(-4, 5)) AS i) b WHERE a.i * a.i + b.i * b.i <= 16",
         ub="SELECT image_id, y, x, CAST(round_even(prob * 255, 0) AS BIGINT) AS v FROM image_pixels",
-        q="SELECT g.image_id, g.y, g.x, floor(sum(n.v) / count(*)) AS prob FROM ub g CROSS JOIN off JOIN ub n ON n.image_id = g.image_id AND n.y = g.y + dy AND n.x = g.x + dx GROUP BY g.image_id, g.y, g.x"))
+        q="SELECT image_id, CAST(y - dy AS INTEGER) AS y, CAST(x - dx AS INTEGER) AS x, floor(sum(v) / count(*)) AS prob FROM ub CROSS JOIN off WHERE y - dy BETWEEN 0 AND 63 AND x - dx BETWEEN 0 AND 63 GROUP BY image_id, y - dy, x - dx"))
 
 
 # --- losses on grids ----------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .sqlkit import Catalog
 
-SECTIONS = ("scores", "masks", "rasters", "training", "slides")
+SECTIONS = ("scores", "masks", "rasters", "training", "slides", "pipelines")
 
 
 def full_catalog() -> Catalog:

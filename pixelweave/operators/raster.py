@@ -121,7 +121,7 @@ def outline(pixels: DataFrame, keys=("image_id", "inst_id"), x_off: int = 0, y_o
         first = int(np.lexsort((xs, ys))[0])
         pts = _trace(set(zip(ys.tolist(), xs.tolist())), (int(ys[first]), int(xs[first])))
         if len(pts) < 3:
-            return pdf.iloc[:0].assign(ring=[])[[*keys, "ring"]]
+            return pdf.iloc[:0].assign(ring=pd.Series(dtype=object))[[*keys, "ring"]]
         ring = [{"x": float(x + x_off), "y": float(y + y_off)} for y, x in [*pts, pts[0]]]
         return pdf.iloc[:1].assign(ring=[ring])[[*keys, "ring"]]
 

@@ -87,14 +87,20 @@ def box_mean_std(grid: DataFrame, column: str, window: int, height: int, width:
     r = window // 2
     big = pad(grid, height, width, r, r, "reflect")
     v = F.col(column).cast("double")
-    line = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-r, r)
-    big = (big.withColumn("_s", F.sum(v).over(line)).withColumn("_q", F.sum(v * v).over(line))
-           .filter(F.col("x").between(0, width - 1)))
-    post = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-r, r)
+
+    def spans(df: DataFrame, line, values: dict) -> DataFrame:
+        """Sums over r cells to both sides as differences of running sums, whatever r is."""
+        upto = line.rowsBetween(Window.unboundedPreceding, 0)
+        df = df.select("*", *[F.sum(c).over(upto).alias(f"_c{k}") for k, c in values.items()])
+        return df.select("*", *[(F.lead(f"_c{k}", r).over(line) - F.coalesce(F.lag(f"_c{k}", r + 1).over(line), F.lit(0.0))).alias(k) for k in values])
+
+    big = spans(big, Window.partitionBy(*keys, "y").orderBy("x"), {"_s": v, "_q": v * v}).filter(F.col("x").between(0, width - 1))
+    big = spans(big.drop("_c_s", "_c_q"), Window.partitionBy(*keys, "x").orderBy("y"), {"_bs": F.col("_s"), "_bq": F.col("_q")})
+    big = big.filter(F.col("y").between(0, height - 1))
     n = float(window * window)
-    big = big.withColumn("local_mean", F.sum("_s").over(post) / n).withColumn("_v", F.sum("_q").over(post) / n)
-    var = F.greatest(F.col("_v") - F.col("local_mean") * F.col("local_mean"), F.lit(0.0))
-    return big.withColumn("local_std", F.sqrt(var)).filter(F.col("y").between(0, height - 1)).drop("_s", "_q", "_v")
+    mean = F.col("_bs") / n
+    var = F.greatest(F.col("_bq") / n - mean * mean, F.lit(0.0))
+    return big.select(*grid.columns, mean.alias("local_mean"), F.sqrt(var).alias("local_std"))
 
 
 def local_mean(grid: DataFrame, columns: list[str], radius: int, height: int, width: int, keys=("image_id",)) -> DataFrame:

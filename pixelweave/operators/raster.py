@@ -111,21 +111,38 @@ def _trace(cells: set[tuple[int, int]], start: tuple[int, int]) -> list[tuple[in
 def outline(pixels: DataFrame, keys=("image_id", "inst_id"), x_off: int = 0, y_off: int = 0) -> DataFrame:
     """(keys, ring): outer contour of the raster-first component of each instance, closed; under three corners none.
 
-    Only boundary pixels reach the tasks, grouped per instance, so a group is the perimeter of one object.
+    Only boundary pixels reach the tasks, sorted by instance. A task reads them batch by batch and holds one batch and the
+    perimeter of one object at a time, so the number of objects in an image does not matter.
     """
+    keys = list(keys)
     edge = boundary_pixels(pixels, keys)
-    schema = T.StructType([*[f for f in edge.schema.fields if f.name in keys], T.StructField("ring", RING)])
+    schema = T.StructType([*[edge.schema[k] for k in keys], T.StructField("ring", RING)])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One ring per run of equal keys; rows come sorted by keys, y, x, so a run starts with its first pixel."""
+        new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new)
         ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        first = int(np.lexsort((xs, ys))[0])
-        pts = _trace(set(zip(ys.tolist(), xs.tolist())), (int(ys[first]), int(xs[first])))
-        if len(pts) < 3:
-            return pdf.iloc[:0].assign(ring=pd.Series(dtype=object))[[*keys, "ring"]]
-        ring = [{"x": float(x + x_off), "y": float(y + y_off)} for y, x in [*pts, pts[0]]]
-        return pdf.iloc[:1].assign(ring=[ring])[[*keys, "ring"]]
-
-    return edge.groupBy(*keys).applyInPandas(walk, schema)
+        kept, out = [], []
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            pts = _trace(set(zip(ys[a:b].tolist(), xs[a:b].tolist())), (int(ys[a]), int(xs[a])))
+            if len(pts) > 2:
+                kept.append(a)
+                out.append([{"x": float(x + x_off), "y": float(y + y_off)} for y, x in [*pts, pts[0]]])
+        return pdf.iloc[kept][keys].assign(ring=pd.Series(out, dtype=object, index=pdf.index[kept]))
+
+    def walk(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            open_ = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+            rest = pdf[open_].reset_index(drop=True)
+            if not open_.all():
+                yield rings(pdf[~open_].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield rings(rest)
+
+    return edge.repartition(*keys).sortWithinPartitions(*keys, "y", "x").mapInPandas(walk, schema)
 
 
 def touching_groups(rings: DataFrame, keys, member, gap: int = 1) -> DataFrame:

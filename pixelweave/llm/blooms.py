@@ -51,8 +51,9 @@ def _set(bits: np.ndarray, places: list[np.ndarray]) -> None:
         np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
 
 
-def twice_filter(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]], bits: int):
-    """Broadcast `twice` filter over all rows. `hashes` turns Arrow batches into arrays, each hash once per document."""
+def twice_filter(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]], bits: int, single: bool = False):
+    """Broadcast `twice` filter over all rows (with `single` the `once` filter). `hashes` turns Arrow batches into arrays, each hash
+    once per document."""
 
     def fill(batches):
         pair = Pair(bits)
@@ -75,9 +76,10 @@ def twice_filter(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarr
                     once |= o
                 else:
                     sums[k] = [o.copy(), t.copy()]
-        for k, (_, twice) in sums.items():
-            if twice.any():
-                yield {"block": [k], "twice": [zlib.compress(twice.tobytes(), 1)]}
+        for k, pair in sums.items():
+            bits_ = pair[0 if single else 1]
+            if bits_.any():
+                yield {"block": [k], "twice": [zlib.compress(bits_.tobytes(), 1)]}
 
     pairs = map_rows(docs, fill, "block long, once binary, twice binary")
     merged = map_rows(pairs.repartition("block"), merge, "block long, twice binary")
@@ -88,6 +90,16 @@ def twice_filter(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarr
     return docs.sparkSession.sparkContext.broadcast(whole)
 
 
+def filter_of(df: DataFrame, col: str, bits: int):
+    """Broadcast filter of the distinct long values of a column."""
+
+    def hashes(batches):
+        for b in batches:
+            yield b.column(0).to_numpy().view(np.uint64)
+
+    return twice_filter(df.select(col), hashes, bits, single=True)
+
+
 def suspected(twice: np.ndarray, h: np.ndarray) -> np.ndarray:
     """For each hash: may it occur in two documents?"""
     return _inside(twice, _places(h, np.uint64(len(twice) * 8 - 1))) if len(h) else np.zeros(0, bool)

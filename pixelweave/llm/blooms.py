@@ -4,7 +4,7 @@ Each task fills its own pair; pairs merge by blocks with
     once = once1 | once2,  twice = twice1 | twice2 | (once1 & once2),
 which is associative, so a hash that two tasks hold once each is in the merged `twice`: no repeat is missed. False
 positives only send more rows to the exact step that follows. The size is a parameter and does not follow the data; an
-overfull filter lets everything through and results stay the same. The merged `twice` is broadcast: 2^bits / 8 bytes.
+overfull filter lets everything through and results stay the same; less data takes less. The merged `twice` is broadcast: 2^bits / 8 bytes.
 """
 
 from __future__ import annotations
@@ -51,6 +51,11 @@ def _set(bits: np.ndarray, places: list[np.ndarray]) -> None:
         np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
 
 
+def bits_for(entries: float, most: int) -> int:
+    """Size for about 6 to 12 bits an entry, `most` at most."""
+    return int(min(most, max(16, np.ceil(np.log2(6 * max(entries, 1))))))
+
+
 def twice_filter(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarray]], bits: int, single: bool = False):
     """Broadcast `twice` filter over all rows (with `single` the `once` filter). `hashes` turns Arrow batches into arrays, each hash
     once per document."""

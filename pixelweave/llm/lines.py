@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .blooms import suspected, twice_filter
 from .common import SPACES, map_rows, texts
 
-FILTER_BITS = 27  # 16 MB a filter
+FILTER_BITS = 26  # 8 MB a filter
 
 
 def line_key(line: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows, mix
 
 BLOCK = 1 << 16  # bytes of a filter that travel together
-PROBES = 3
+PROBES = 2
 
 
 class Pair:
@@ -100,7 +100,7 @@ def filter_of(df: DataFrame, col: str, bits: int):
 
     def hashes(batches):
         for b in batches:
-            yield b.column(0).to_numpy().view(np.uint64)
+            yield b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
     return twice_filter(df.select(col), hashes, bits, single=True)
 

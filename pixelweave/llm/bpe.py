@@ -20,6 +20,7 @@ from .common import map_rows, table, texts
 # Fixed value: the public pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIRS = 1_000_000  # remembered neighbour tests
+LONGEST = 100  # characters of a stretch worth remembering
 ALONE = ("", -1, "")  # marks a stretch that must be split together with its neighbours
 
 
@@ -141,7 +142,9 @@ class Encoder:
             if own is None:
                 if len(self.pieces) > self.limit:
                     self.pieces.clear()
-                own = self.pieces[piece] = tuple(self.encode_piece(piece.encode()))
+                own = tuple(self.encode_piece(piece.encode()))
+                if len(piece) <= LONGEST:
+                    self.pieces[piece] = own
             ids += own
         decoded = b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
         return ",".join(map(str, ids)), len(ids), text if decoded == text else decoded  # one string where they are equal
@@ -162,12 +165,14 @@ class Encoder:
             for k, x in enumerate(out):
                 if x is None:
                     out[k] = self.known.get(parts[k]) or self._learn(parts[k])
-        return out if ALONE not in out or not rest else [self._chunk(x) for x in self.split(text)]
+        return [self._chunk(x) for x in self.split(text)] if ALONE in out else out
 
     def _learn(self, part: str) -> tuple[str, int, str]:
         body = part.removeprefix(" ")
-        self.known[part] = ALONE if not body or body[0].isspace() or body[-1].isspace() or part == body and part[0] == " " else self._chunk(part)
-        return self.known[part]
+        out = ALONE if not body or body[0].isspace() or body[-1].isspace() else self._chunk(part)
+        if len(part) <= LONGEST:
+            self.known[part] = out
+        return out
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """(ids joined by commas, their number, decoded text)."""

@@ -92,13 +92,12 @@ def fill_holes(grid: DataFrame, height: int, width: int, min_size: int = 5000, k
     """Background components whose padded box holds at most `min_size` background pixels: all background pixels of the box
     take the most frequent other label there. `grid` must hold the background as rows.
 
-    A component that alone exceeds `min_size` is no hole and is not looked at again.
+    The box is judged as it is when the component's turn comes: earlier fills may have eaten into a large component.
     """
     keys = list(keys)
     cur = stage(grid.select(*keys, "y", "x", F.col(column).alias("_l")))
     comp = connected_pixels(cur.filter("_l = 0"), keys)
-    box = comp.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= min_size).drop("_n")
-    boxes = stage(bounding_box(comp.join(box, [*keys, "root"], "left_semi"), (*keys, "root"), BOX_PAD, height, width))
+    boxes = stage(bounding_box(comp, (*keys, "root"), BOX_PAD, height, width))
     if boxes.isEmpty():
         return cur.withColumnRenamed("_l", column)
     boxes = _rounds(boxes, keys)

@@ -14,8 +14,8 @@ from .raster import boundary_pixels
 
 STRIP = 32
 BLOCK = 64
-# Fixed value: weights below this add nothing to a map of doubles around 1.
-NEGLIGIBLE = 1e-17
+# Fixed value: exp of anything below is 0.0 in a double.
+EXP_ZERO = -746.0
 
 
 def distance_map(grid: DataFrame, target: str, keys=("image_id",), rmax: int | None = None) -> DataFrame:
@@ -55,11 +55,11 @@ def weight_map(pixels: DataFrame, height: int, width: int, sigma: float = 5.0, w
     """(keys, y, x, weight): w0 * exp(-((d1 + d2) / sigma)^2 / 2) outside the instances, d1 and d2 being the distances to the
     two nearest ones (equal distances count twice). Pixels not listed weigh 0, as do all of an image with one instance.
 
-    Beyond a radius that follows from sigma and w0 the weight is below 1e-17, so each boundary pixel is sent only to the
-    blocks within that radius; every block is solved from its own boundary pixels.
+    Beyond a radius that follows from sigma the weight is 0.0 in a double, so each boundary pixel is sent only to the blocks
+    within that radius; every block is solved from its own boundary pixels.
     """
     keys = list(keys)
-    reach = int(math.ceil(sigma * math.sqrt(2 * math.log(w0 / NEGLIGIBLE))))
+    reach = int(math.ceil(sigma * math.sqrt(-2 * EXP_ZERO)))
     inst = pixels.filter("inst_id > 0").select(*keys, "inst_id", "y", "x")
     edge = boundary_pixels(inst, (*keys, "inst_id"))
 
@@ -83,7 +83,7 @@ def weight_map(pixels: DataFrame, height: int, width: int, sigma: float = 5.0, w
                 d = np.minimum(d, part.min(axis=2))
             near = np.sort(np.concatenate([near, d[None]]), axis=0)[:2]
         w = w0 * np.exp(-(((np.sqrt(near[0]) + np.sqrt(near[1])) / sigma) ** 2) / 2)
-        ok = w > NEGLIGIBLE
+        ok = w > 0
         out = pd.DataFrame({k: [pdf[k].iloc[0]] * int(ok.sum()) for k in keys})
         out["y"], out["x"], out["weight"] = yy[ok], xx[ok], w[ok]
         return out

@@ -162,7 +162,7 @@ def weight_loss(df: DataFrame, class_weights: DataFrame | None = None, edge_weig
     """Per-pixel loss times its class weight (class_id, weight; one row per class), and edge_weight ** weight map."""
     out = df
     if class_weights is not None:
-        w = F.broadcast(class_weights.select(F.col("class_id").alias(target), F.col("weight").alias("_w")))
+        w = class_weights.select(F.col("class_id").alias(target), F.col("weight").alias("_w"))
         out = out.join(w, target).withColumn(loss, F.col(loss) * F.col("_w")).drop("_w")
     if edge_weight is not None:
         out = out.withColumn(loss, F.col(loss) * F.pow(F.lit(float(edge_weight)), F.col(weight_map)))

@@ -131,7 +131,7 @@ def _best_per_true(pairs: DataFrame, keys) -> DataFrame:
 
 
 def _ratio(prefix: str) -> Column:
-    return F.col(f"{prefix}_i") / F.col(f"{prefix}_u")
+    return F.try_divide(F.col(f"{prefix}_i"), F.col(f"{prefix}_u"))
 
 
 def aji(pixels: DataFrame, keys=("image_id",), true="true_id", pred="pred_id") -> DataFrame:
@@ -194,16 +194,17 @@ def split_merge(pixels: DataFrame, n_pixels: int, keys=("image_id",), true="true
 def conventional(grid: DataFrame, keys=("image_id",), true="true_id", pred="pred_id") -> DataFrame:
     """Dice, IoU, sensitivity, specificity of the binary masks on the full grid.
 
-    The true-negative count holds every pixel on which both masks agree, hits included.
+    The true-negative count holds every pixel on which both masks agree, hits included. A score without a
+    denominator is null.
     """
     t, p = F.coalesce(F.col(true), F.lit(0)) > 0, F.coalesce(F.col(pred), F.lit(0)) > 0
     c = grid.groupBy(*keys).agg(
         F.sum((t & p).cast("long")).alias("tp"), F.sum((t == p).cast("long")).alias("tn"),
         F.sum((~t & p).cast("long")).alias("fp"), F.sum((t & ~p).cast("long")).alias("fn"))
-    dice = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    dice = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     return c.select(*keys, dice.alias("dice"), (dice / (2 - dice)).alias("iou"),
-                    (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("sensitivity"),
-                    (F.col("tn") / (F.col("tn") + F.col("fp"))).alias("specificity"))
+                    F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("sensitivity"),
+                    F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")).alias("specificity"))
 
 
 def compute_metrics(pixels: DataFrame, n_pixels: int, keys=("image_id",), true="true_id", pred="pred_id") -> DataFrame:

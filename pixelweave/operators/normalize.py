@@ -82,21 +82,22 @@ def percentile_normalize_and_clamp(df: DataFrame, lo: float = -1.0, hi: float =
 
 
 def percentile_normalize_nearest(df: DataFrame, keys=("image_id", "channel"), column: str = "v") -> DataFrame:
-    """(v - p1) / (p99 - p1) with nearest percentiles and no guard."""
+    """(v - p1) / (p99 - p1) with nearest percentiles; null where the two are equal."""
     n1 = F.col("n") - 1
     p = order_values(df, keys, column, {"_p1": F.bround(F.lit(0.01) * n1).cast("long"), "_p99": F.bround(F.lit(0.99) * n1).cast("long")})
-    return (df.join(p, list(keys)).withColumn(column, (F.col(column) - F.col("_p1")) / (F.col("_p99") - F.col("_p1")))
+    return (df.join(p, list(keys)).withColumn(column, F.try_divide(F.col(column) - F.col("_p1"), F.col("_p99") - F.col("_p1")))
             .drop("_p1", "_p99", "n"))
 
 
 def normalize(df: DataFrame, standardize: bool = True, keys=("image_id", "channel"), column: str = "v", sample: bool = False) -> DataFrame:
-    """Mean-centre per channel and divide by the deviation. The population form leaves images with a constant channel."""
+    """Mean-centre per channel and divide by the deviation. The population form leaves images with a constant channel;
+    in the sample form a constant channel, or one of a single pixel, is null."""
     std = F.stddev_samp(column) if sample else F.stddev_pop(column)
     s = df.groupBy(*keys).agg(F.avg(column).alias("_m"), std.alias("_s"), (F.max(column) > F.min(column)).alias("_v"))
     v = F.col(column).cast("double")
     new = v - F.col("_m")
     if standardize:
-        new = new / F.col("_s")
+        new = F.try_divide(new, F.col("_s"))
     if sample:
         return df.join(s, list(keys)).withColumn(column, new).drop("_m", "_s", "_v")
     ok = s.groupBy(*_image(keys)).agg(F.min("_v").alias("_varies"))
@@ -109,10 +110,11 @@ def normalize_sample(df: DataFrame, keys=("image_id", "channel"), column: str =
 
 
 def minmax_normalize(df: DataFrame, per_channel: bool = False, keys=("image_id", "channel"), column: str = "v") -> DataFrame:
-    """Scale to 0..1 by one range over all channels (images with a constant channel stay), or by one range per channel."""
+    """Scale to 0..1 by one range over all channels (images with a constant channel stay), or by one range per channel (a
+    constant channel is null)."""
     per = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     v = F.col(column).cast("double")
-    scaled = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    scaled = F.try_divide(v - F.col("_lo"), (F.col("_hi") - F.col("_lo")).cast("double"))
     if per_channel:
         return df.join(per, list(keys)).withColumn(column, scaled).drop("_lo", "_hi")
     img = _image(keys)
@@ -124,7 +126,7 @@ def dataset_normalize(df: DataFrame, stats: DataFrame, to_uint8: bool = True, co
     """(v - mean) / std with dataset statistics (channel, mean, std); a zero deviation fails. `stats` has one row per channel."""
     k = 255.0 if to_uint8 else 1.0
     std = F.when(F.col("std") == 0, F.raise_error(F.lit("zero deviation in dataset statistics"))).otherwise(F.col("std"))
-    return (df.join(F.broadcast(stats.select("channel", "mean", "std")), "channel")
+    return (df.join(stats.select("channel", "mean", "std"), "channel")
             .withColumn(column, (F.col(column) - F.col("mean") * k) / (std * k)).drop("mean", "std"))
 
 

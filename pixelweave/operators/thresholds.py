@@ -61,11 +61,12 @@ def argmax_thresh(df: DataFrame, probs: str = "inst_probs", keys=("image_id",))
 
 
 def histogram_cut(df: DataFrame, eps: float = 0.01, bins: int = 256, prob: str = "prob", keys=("image_id",)) -> DataFrame:
-    """(keys, cut): centre of the bin before the steepest drop of the histogram, plus eps; the first one on ties."""
+    """(keys, cut): centre of the bin before the steepest drop of the histogram, plus eps; the first one on ties. On a flat
+    image it is the value plus eps, so that no pixel reaches it."""
     keys = list(keys)
     span = df.groupBy(*keys).agg(F.min(prob).alias("_lo"), F.max(prob).alias("_hi"))
     step = (F.col("_hi") - F.col("_lo")) / bins
-    hist = (df.join(span, keys).withColumn("_b", F.least(F.floor((F.col(prob) - F.col("_lo")) / step), F.lit(bins - 1)).cast("int"))
+    hist = (df.join(span, keys).withColumn("_b", F.least(F.floor(F.coalesce(F.try_divide(F.col(prob) - F.col("_lo"), step), F.lit(0.0))), F.lit(bins - 1)).cast("int"))
             .groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")))
     full = span.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(hist, [*keys, "_b"], "left")
     n = F.coalesce("_n", F.lit(0))

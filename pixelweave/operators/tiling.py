@@ -97,7 +97,7 @@ def pyramid_weights(spark: SparkSession, width: int, height: int) -> DataFrame:
 
 def apply_weights(patches: DataFrame, weights: DataFrame, columns) -> DataFrame:
     """Multiply columns by the weight of their place in the patch; the table has one row per patch cell."""
-    return (patches.join(F.broadcast(weights), ["px", "py"])
+    return (patches.join(weights, ["px", "py"])
             .select(*[(F.col(c) * F.col("weight")).alias(c) if c in columns else F.col(c) for c in patches.columns]))
 
 

@@ -79,10 +79,10 @@ def keep_inner(annotations: DataFrame, tile=an.DEFAULT_TILE) -> DataFrame:
     return an.non_border(an.with_tile(annotations), tile)
 
 
-def merge_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, keep_unmatched: bool = False, smooth: bool = True, radius: int = SMOOTH) -> DataFrame:
+def merge_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, keep_unmatched: bool = True, smooth: bool = True, radius: int = SMOOTH) -> DataFrame:
     """(kind, name, feature_id, adj_name, adj_feature_id, class_id, ring) of a whole slide.
 
-    Border cells without a partner are left out unless `keep_unmatched` is set; a cell that meets two neighbours appears in
+    Border cells without a partner are kept unless `keep_unmatched` is unset; a cell that meets two neighbours appears in
     two merged cells.
     """
     inner = keep_inner(annotations, tile)

@@ -37,7 +37,7 @@ add("distance_map", lambda s, d: line_sums(distance.distance_map(
         g="""SELECT i.image_id, i.y, i.x, min(abs(i.x - p.x)) AS g FROM image_pixels i JOIN pred p ON p.image_id = i.image_id AND p.y = i.y GROUP BY i.image_id, i.y, i.x""",
         dm="""SELECT i.image_id, i.y, i.x, sqrt(CAST(min(g.g * g.g + (g.y - i.y) * (g.y - i.y)) AS DOUBLE)) AS distance FROM image_pixels i JOIN g ON g.image_id = i.image_id AND g.x = i.x
             GROUP BY i.image_id, i.y, i.x"""))
-add("weight_map", lambda s, d: line_sums(distance.weight_map(fx.true_pixels(s, d), H, W).filter("weight > 1e-9"), ["weight"]),
+add("weight_map", lambda s, d: line_sums(distance.weight_map(fx.true_pixels(s, d), H, W), ["weight"]),
     sql(line_sums_sql("wm", ["weight"]),
         tpix="SELECT image_id, inst_id, y, x FROM truth t WHERE (SELECT count(*) FROM (VALUES (0,1),(0,-1),(1,0),(-1,0)) v(dy, dx) JOIN truth n ON n.image_id = t.image_id AND n.inst_id = t.inst_id AND n.y = t.y + dy AND n.x = t.x + dx) < 4",
         # rectangles: the distance to an instance follows from its box
@@ -45,7 +45,7 @@ add("weight_map", lambda s, d: line_sums(distance.weight_map(fx.true_pixels(s, d
         dd="""SELECT i.image_id, i.y, i.x, sqrt(CAST(pow(greatest(y1 - y, 0, y - y2), 2) + pow(greatest(x1 - x, 0, x - x2), 2) AS DOUBLE)) AS dist
             FROM image_pixels i JOIN tb ON tb.image_id = i.image_id WHERE i.true_id = 0""",
         two="SELECT image_id, y, x, sum(dist) AS s FROM (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY dist) AS rn FROM dd) q WHERE rn <= 2 GROUP BY image_id, y, x",
-        wm="SELECT * FROM (SELECT image_id, y, x, 10 * exp(-(s / 5) * (s / 5) / 2) AS weight FROM two) q WHERE weight > CAST(1e-9 AS DOUBLE)"))
+        wm="SELECT * FROM (SELECT image_id, y, x, 10 * exp(-(s / 5) * (s / 5) / 2) AS weight FROM two) q WHERE weight > 0"))
 
 # --- flooding and flows: checked against brute force in the tests ------------------------------------------------------------
 

@@ -40,11 +40,10 @@ add("filter_tiles", lambda s, d: an.filter_tiles(fx.tiles(s, d), xmax=320, ymax=
 def _gappy(s, d):
     """Tile rows by order date, with days missing, so that there are several sections."""
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
-    return (fx.table(s, d, "orders").select((day * 64).cast("int").alias("y"), F.col("o_custkey").alias("x")).filter(F.col("x") % 3 == 0)
-            .distinct())
+    return (fx.table(s, d, "orders").select((day * 64).cast("int").alias("y"), F.col("o_custkey").alias("x")).distinct())
 
 
-GAPPY = "SELECT DISTINCT CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 64 AS INTEGER) AS y, o_custkey AS x FROM orders WHERE o_custkey % 3 = 0"
+GAPPY = "SELECT DISTINCT CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 64 AS INTEGER) AS y, o_custkey AS x FROM orders"
 AUTO = dict(gappy=GAPPY, isl="SELECT min(y) AS lo, max(y) AS hi, count(*) AS n FROM (SELECT y, y - 64 * row_number() OVER (ORDER BY y) AS g FROM (SELECT DISTINCT y FROM gappy) a) b GROUP BY g",
             pick="SELECT lo, hi FROM (SELECT *, row_number() OVER (ORDER BY lo) - 1 AS k FROM isl WHERE n >= 3) q WHERE k = {k}",
             span="SELECT coalesce((SELECT lo FROM pick), (SELECT min(lo) FROM isl)) AS lo, coalesce((SELECT hi FROM pick), (SELECT max(hi) FROM isl)) AS hi")
@@ -105,7 +104,7 @@ add("keep_inner", lambda s, d: merge.keep_inner(fx.ring_annotations(s, d), TILE)
     sql("SELECT name, count(*) AS n FROM annotations WHERE xmin <> tx AND ymin <> ty AND xmax <> tx + 64 AND ymax <> ty + 64 GROUP BY name"))
 CELLS = f"""SELECT 'inner' AS kind, name, feature_id, NULL AS adj_name, CAST(NULL AS INTEGER) AS adj_feature_id, class_id FROM annotations
     WHERE xmin <> tx AND ymin <> ty AND xmax <> tx + 64 AND ymax <> ty + 64 UNION ALL SELECT 'merged', {PK}, class_id FROM pr"""
-add("merge_cells", lambda s, d: merge.merge_cells(fx.ring_annotations(s, d), TILE, smooth=False).drop("ring"), sql(CELLS, **PAIRS))
+add("merge_cells", lambda s, d: merge.merge_cells(fx.ring_annotations(s, d), TILE, keep_unmatched=False, smooth=False).drop("ring"), sql(CELLS, **PAIRS))
 add("merge_cells_keep_unmatched", lambda s, d: merge.merge_cells(fx.ring_annotations(s, d), TILE, keep_unmatched=True, smooth=False).drop("ring"),
     sql(CELLS + """ UNION ALL SELECT 'unmatched', name, feature_id, NULL, NULL, class_id FROM annotations a WHERE (xmin = tx OR ymin = ty OR xmax = tx + 64 OR ymax = ty + 64)
         AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.name = a.name AND pr.feature_id = a.feature_id) AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.adj_name = a.name AND pr.adj_feature_id = a.feature_id)""", **PAIRS))

@@ -29,12 +29,13 @@ def _points(ring: Column) -> Column:
 
 def parse_features(raw: DataFrame, keep=("name",)) -> DataFrame:
     """(keep, feature_id, part, class_name, ring, bounds): one row per polygon; a multipolygon yields one row per part, a line
-    is closed. Rings that are empty or enclose no area are dropped."""
+    is closed. Rings that are empty or enclose no area are dropped; a geometry of another kind fails the job."""
     coords = F.col("geometry.coordinates")
     kind = F.col("geometry.type")
     polys = (F.when(kind == "MultiPolygon", F.from_json(coords, f"array<{_POLYGON}>"))
              .when(kind == "Polygon", F.array(F.from_json(coords, _POLYGON)))
-             .when(kind == "LineString", F.array(F.array(F.from_json(coords, "array<array<double>>")))))
+             .when(kind == "LineString", F.array(F.array(F.from_json(coords, "array<array<double>>"))))
+             .when(kind.isNotNull(), F.raise_error(F.concat(F.lit("unknown geometry: "), kind)).cast(f"array<{_POLYGON}>")))
     d = (raw.select(*keep, "feature_id", F.col("properties.classification.name").alias("class_name"), F.posexplode(polys).alias("part", "_poly"))
          .withColumn("ring", _points(F.get("_poly", F.lit(0)))).filter(F.size("ring") > 2))
     open_end = F.get("ring", F.lit(0)) != F.element_at("ring", -1)

@@ -85,15 +85,14 @@ def write_patches(patches: DataFrame, path: str, meta: dict, mode: str = "overwr
     """
     spark = patches.sparkSession
     files = os.path.join(path, "patches")
-    part = f"load={0 if mode == 'overwrite' else _next_load(spark, path)}"
-    target = os.path.join(files, part)
+    load = 0 if mode == "overwrite" else _next_load(spark, path)
     (patches.repartitionByRange("split", "patch_id", "image_id", "py").sortWithinPartitions("split", "patch_id", "image_id", "py", "px")
-     .write.mode(mode).partitionBy("split").parquet(target))
-    written = spark.read.parquet(target)
+     .withColumn("load", F.lit(load)).write.mode(mode).partitionBy("load", "split").parquet(files))  # overwriting drops all earlier loads
+    written = spark.read.parquet(os.path.join(files, f"load={load}"))
     patch_stats(_channels(written)).write.mode(mode).parquet(os.path.join(path, "stats"))
     # one aggregate row, of a known size
     n = written.select("image_id", "patch_id").distinct().count()
-    _metadata(spark, meta, n).write.mode(mode).parquet(os.path.join(path, "meta"))
+    _metadata(spark, meta, n).withColumn("load", F.lit(load)).write.mode(mode).parquet(os.path.join(path, "meta"))
 
 
 def _next_load(spark: SparkSession, path: str) -> int:
@@ -111,7 +110,7 @@ def append_patches(patches: DataFrame, path: str, **overrides) -> None:
 def dataset_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row: stride, patch shape and class dictionaries of the first load, patches of all loads."""
     m = spark.read.parquet(os.path.join(path, "meta"))
-    return m.agg(*[F.first(c).alias(c) for c in ("stride", "patch_height", "patch_width", "classes", "sem_classes")], F.sum("n_items").alias("n_items"))
+    return m.agg(*[F.min_by(c, "load").alias(c) for c in ("stride", "patch_height", "patch_width", "classes", "sem_classes")], F.sum("n_items").alias("n_items"))
 
 
 def dataset_stats(spark: SparkSession, path: str) -> DataFrame:

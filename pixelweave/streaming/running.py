@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.images import SUFFIXES
+from ..sources.images import is_image
 
 
 def stream_files(spark: SparkSession, path: str, n: int, pattern: str = "*") -> DataFrame:
-    """Image files as they arrive, `n` per trigger: (name, path, length, content)."""
+    """Image files as they arrive, `n` per trigger: (name, path, length, content); another suffix fails the stream."""
     files = (spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", n).load(path)
              .withColumn("name", F.element_at(F.split("path", "/"), -1)))
-    suffix = F.concat(F.lit("."), F.element_at(F.split("name", r"\."), -1))
-    return files.filter(suffix.isin(*SUFFIXES)).select("name", "path", "length", "content")
+    return files.filter(is_image()).select("name", "path", "length", "content")
 
 
 def stream_table(spark: SparkSession, path: str, n: int = 1) -> DataFrame:

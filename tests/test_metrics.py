@@ -140,3 +140,20 @@ def test_per_type_ignores_other_classes(spark):
     other = px.withColumn("type_id", F.lit(1))
     got = {(r.class_name, r["name"]): r.PQ for r in benchmark.benchmark_per_type(other, px, {"bg": 0, "one": 1, "two": 2}, 16).collect()}
     assert abs(got["two", "i"]) < 1e-9 and 0.6 < got["one", "i"] < 0.7 and ("two", "two_avg_for_the_set") in got
+
+
+def test_blank_images_do_not_stop_the_job(spark):
+    from pyspark.sql import functions as F
+
+    from pixelweave.operators import normalize, thresholds
+
+    grid = spark.createDataFrame([(i, y, x, 1 if i and x else 0, 1 if i and y else 0) for i in (0, 1) for y in range(4) for x in range(4)], "image_id int, y int, x int, true_id int, pred_id int")
+    got = {r.image_id: r for r in metrics.conventional(grid).collect()}
+    assert got[0].dice is None and got[0].sensitivity is None and got[0].specificity == 1.0
+    assert got[1].dice == 2 * 9 / (2 * 9 + 3 + 3)
+    px = spark.createDataFrame([(i, 0, y, x, float(i * (x + 4 * y)) + 3) for i in (0, 1) for y in range(4) for x in range(4)], "image_id int, channel int, y int, x int, v double")
+    for fn in (normalize.normalize_sample, normalize.percentile_normalize_nearest, lambda d: normalize.minmax_normalize(d, per_channel=True)):
+        rows = {r.image_id: r for r in fn(px).groupBy("image_id").agg(F.count("v").alias("n"), F.max("v").alias("hi")).collect()}
+        assert rows[0].n == 0 and rows[1].n == 16
+    cuts = {r.image_id: r.cut for r in thresholds.histogram_cut(px.withColumnRenamed("v", "prob")).collect()}
+    assert abs(cuts[0] - 3.01) < 1e-9 and cuts[1] > 3

@@ -27,8 +27,6 @@ def ref_fill_holes(m, min_size):
     res = m.copy()
     comp = label(m == 0)
     for i in range(1, comp.max() + 1):
-        if (comp == i).sum() > min_size:
-            continue
         y1, y2, x1, x2 = padded_box(comp == i, m.shape)
         crop = res[y1:y2, x1:x2]
         v, n = np.unique(crop[crop > 0], return_counts=True)
@@ -54,6 +52,17 @@ def test_fill_holes_keeps_the_sequential_order(spark):
         assert (to_map(got, m.shape, "sem_id") == ref_fill_holes(m, 6)).all()
 
 
+def test_fill_holes_looks_at_large_components(spark):
+    rng = np.random.default_rng(23)
+    changed = 0
+    for _ in range(4):
+        m = (rng.random((10, 10)) < 0.75) * rng.integers(1, 3, (10, 10))
+        got = areas.fill_holes(pixels(spark, [m], "sem_id", dense=True), *m.shape, 8).collect()
+        assert (to_map(got, m.shape, "sem_id") == ref_fill_holes(m, 8)).all()
+        changed += (ref_fill_holes(m, 8) != m).any()
+    assert changed
+
+
 def ref_flood(mask, elev, mark):
     """Levels by repeated relaxation, then ids by repeated minimum over steps that reach a pixel at its level."""
     cells = [(int(y), int(x)) for y, x in zip(*np.nonzero(mask))]

@@ -71,3 +71,16 @@ def test_random_crop_is_stable(spark):
     g = spark.range(900).select(F.lit(0).alias("image_id"), F.floor(F.col("id") / 30).cast("int").alias("y"), (F.col("id") % 30).cast("int").alias("x"))
     once = sorted(map(tuple, tiling.random_crop(g, 30, 30, 8, 9, seed=3).collect()))
     assert len(once) == 72 and once == sorted(map(tuple, tiling.random_crop(g.repartition(5), 30, 30, 8, 9, seed=3).collect()))
+
+
+def test_overwriting_patches_drops_earlier_loads(spark, tmp_path):
+    from pixelweave.sources import tables
+
+    row = spark.createDataFrame([("train", 0, 0, 0, 0, 1, 2, 3, 0, 0, 0)], "split string, image_id int, patch_id int, py int, px int, r int, g int, b int, inst_id int, type_id int, sem_id int")
+    path, meta = str(tmp_path / "set"), {"stride": 80, "patch_shape": (4, 4), "classes": {"a": 1}, "sem_classes": {"b": 2}}
+    tables.write_patches(row, path, meta)
+    tables.append_patches(row, path, stride=7)
+    assert tables.dataset_metadata(spark, path).first().stride == 80
+    tables.write_patches(row, path, meta)
+    assert spark.read.parquet(f"{path}/patches").count() == 1
+    assert tables.dataset_metadata(spark, path).first().n_items == 1

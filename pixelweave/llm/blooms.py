@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
+from ..session import releasing
 from .common import map_rows, mix
 
 BLOCK = 1 << 16  # bytes of a filter that travel together
@@ -89,7 +90,9 @@ def twice_filter(docs: DataFrame, hashes: Callable[[Iterator], Iterator[np.ndarr
     pairs = map_rows(docs, fill, "block long, once binary, twice binary")
     merged = map_rows(pairs.repartition("block"), merge, "block long, twice binary")
     whole = np.zeros(max(1 << (bits - 3), 1), np.uint8)
-    for row in merged.collect():  # at most 2^bits / 8 bytes, whatever the input
+    with releasing(docs.sparkSession):
+        rows = merged.collect()
+    for row in rows:  # at most 2^bits / 8 bytes, whatever the input
         part = np.frombuffer(zlib.decompress(bytes(row.twice)), np.uint8)
         whole[row.block:row.block + len(part)] = part
     return docs.sparkSession.sparkContext.broadcast(whole)

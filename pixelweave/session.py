@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "pixelweave", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
@@ -42,6 +45,17 @@ def staging_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def releasing(spark: SparkSession):
+    """Actions inside give up their shuffle files as soon as they end, rather than when the driver collects its garbage."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to shared storage and read it back.
 
@@ -50,5 +64,6 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with releasing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

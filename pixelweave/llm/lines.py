@@ -100,12 +100,12 @@ def op3(spark, sf_dir):
 
 OP3_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-k AS (SELECT doc_id, lines, list_transform(lines, x -> translate(trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+k AS (SELECT doc_id, lines, list_transform(lines, lambda x: translate(trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM d),
 u AS (SELECT DISTINCT doc_id, key FROM (SELECT doc_id, unnest(keys) AS key FROM k) q WHERE length(key) >= 10),
 f AS (SELECT key, min(doc_id) AS first FROM u GROUP BY key HAVING count(*) > 1),
 g AS (SELECT u.doc_id, list(u.key) AS gone FROM u JOIN f ON u.key = f.key WHERE u.doc_id > f.first GROUP BY u.doc_id),
-r AS (SELECT k.doc_id, lines, list_filter(lines, (x, i) -> NOT list_contains(coalesce(gone, []), keys[i])) AS kept
+r AS (SELECT k.doc_id, lines, list_filter(lines, lambda x, i: NOT list_contains(coalesce(gone, []), keys[i])) AS kept
       FROM k LEFT JOIN g ON k.doc_id = g.doc_id)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
        sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM r"""

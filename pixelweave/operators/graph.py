@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import Stages
 
 
 def _signature(edges: DataFrame, keys) -> tuple:
@@ -19,11 +19,12 @@ def graph_components(edges: DataFrame, keys=("image_id",)) -> DataFrame:
 
     Alternating star contraction (Kiveris et al., 2014): every round is a minimum per node and an equi-join, neighbours
     are never collected, so a node of any degree is a sum over tasks; the number of rounds grows with the logarithm of
-    the graph. Rounds are staged.
+    the graph. Rounds are staged, and a round's tables are deleted once the next one is written.
     """
+    stages = Stages()
     e = (edges.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
          .filter("a <> b").distinct())
-    e = stage(e)
+    e = stages.add(e)
     seen = _signature(e, keys)
     while seen[0]:
         # large star: larger neighbours move to the smallest neighbour
@@ -31,12 +32,13 @@ def graph_components(edges: DataFrame, keys=("image_id",)) -> DataFrame:
         low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (both.join(low, [*keys, "a"]).filter("b > a")
                  .select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        large = stage(large)
+        large = stages.add(large)
         # small star: smaller neighbours and the node itself move to the smallest neighbour
         low = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
         small = (large.join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select(*keys, "a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        e = stage(small)
+        past, e = e, stages.add(small)
+        stages.drop(past, large)
         now = _signature(e, keys)
         if now == seen:
             break

@@ -56,14 +56,38 @@ def releasing(spark: SparkSession):
         spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
 
 
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{staging_dir(spark)}/stage-{uuid.uuid4().hex}"
+    with releasing(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to shared storage and read it back.
 
     Cuts the lineage of iterative plans, keeps a loop's input stable when executors are lost, and gives the next plan
     real file sizes, so that broadcasts are decided on measured data.
     """
-    spark = df.sparkSession
-    path = f"{staging_dir(spark)}/stage-{uuid.uuid4().hex}"
-    with releasing(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df)[0]
+
+
+class Stages:
+    """Staged tables of one job, deleted as soon as `drop` names them: nothing may read a table from then on."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self._paths.append(_write(df))
+        return self._paths[-1][0]
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Tables that were not staged here, and None, are passed over."""
+        gone = [x for x in self._paths if any(x[0] is t for t in tables)]
+        self._paths = [x for x in self._paths if all(x[0] is not t for t in tables)]
+        for table, path in gone:
+            sc = table.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

@@ -16,11 +16,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import graph_components
-from ..session import stage
+from ..session import Stages
+from .blooms import bits_for, filter_of, suspected
 from .common import WordHashes, map_rows, mix, shingles, table, texts
 
 BASE, RATE, TOP = 1.02, 20.0, (1 << 15) - 2  # spacing of register values, rate of the smallest values, largest value
@@ -28,6 +30,7 @@ BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band with probability
 REGISTERS = BANDS * ROWS
 SIGMAS = 5.0
 HUB_ROUNDS = 2
+FILTER_BITS = 28  # 32 MB a filter at most; a fuller one only sends more rows to the exact joins
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -72,28 +75,45 @@ def estimate(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarra
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, hi, lo, regs, bands) of every row: set size, 128-bit key of the set, registers, one key for each band."""
+    """(doc_id, n, hi, lo, regs) of every row: set size, 128-bit key of the set, registers."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            n, key, regs, bands = [], [], [], []
+            n, key, regs = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, hashes, size)
                 n.append(len(s))
-                if len(s):
-                    r = registers(s)
-                    key.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
-                    regs.append(r.tobytes())
-                    packed = r.view(np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    bands.append(mix(packed).view(np.int64).tolist())
-                else:
-                    key.append((None, None))
-                    regs.append(None)
-                    bands.append(None)
-            yield {"doc_id": b.column(0), "n": n, "hi": [k[0] for k in key], "lo": [k[1] for k in key], "regs": regs, "bands": bands}
+                key.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else (None, None))
+                regs.append(registers(s).tobytes() if len(s) else None)
+            yield {"doc_id": b.column(0), "n": n, "hi": [k[0] for k in key], "lo": [k[1] for k in key], "regs": regs}
 
-    return map_rows(docs, run, "doc_id long, n long, hi long, lo long, regs binary, bands array<long>")
+    return map_rows(docs, run, "doc_id long, n long, hi long, lo long, regs binary")
+
+
+def _bands(reps: DataFrame, full=None) -> DataFrame:
+    """(doc_id, n, key): one row for each band of each sketch; with a filter of keys those it lets through."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, BANDS)
+            key = mix(packed + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).ravel()
+            ids, n = (np.repeat(b.column(i).to_numpy(), BANDS) for i in (0, 1))
+            ok = suspected(full.value, key) if full else slice(None)
+            yield {"doc_id": ids[ok], "n": n[ok], "key": key.view(np.int64)[ok]}
+
+    return map_rows(reps.select("doc_id", "n", "regs"), run, "doc_id long, n long, key long")
+
+
+def _shared_buckets(reps: DataFrame, stages: Stages) -> DataFrame:
+    """(doc_id, n, key, label) of the band buckets with several documents, each its own label; what the filter of their keys clears is not shuffled."""
+    full = stages.add(_bands(reps).groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("key"))
+    keys = filter_of(full, "key", bits_for(full.count(), FILTER_BITS))
+    buckets = stages.add(_bands(reps, keys).join(full, "key").withColumn("label", F.col("doc_id")))
+    stages.drop(full)
+    return buckets
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -115,14 +135,21 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, elements) of the wanted documents."""
+    """(doc_id, elements) of the wanted documents; only texts that a filter of their ids lets through are shuffled."""
+    ids = filter_of(wanted, "doc_id", bits_for(wanted.count(), FILTER_BITS))
+
+    def some(batches):
+        for b in batches:
+            b = b.filter(pa.array(suspected(ids.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield {"doc_id": b.column(0), "text": b.column(1)}
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
             yield {"doc_id": b.column(0), "elements": [shingle_set(t, hashes, size).view(np.int64) for t in b.column(1).to_pylist()]}
 
-    return map_rows(docs.join(wanted, "doc_id", "left_semi"), run, "doc_id long, elements array<long>")
+    texts_ = map_rows(docs.filter("doc_id IS NOT NULL"), some, "doc_id long, text string")
+    return map_rows(texts_.join(wanted, "doc_id", "left_semi"), run, "doc_id long, elements array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,11 +161,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * percent).select("a", "b").distinct())
 
 
-def _hub_pairs(labelled: DataFrame, k: int) -> DataFrame:
-    """(a, b): every bucket member with the bucket's k-th hub, unless both are in one component."""
-    pick = F.struct((F.col("doc_id") if k == 0 else F.xxhash64("doc_id", F.lit(k))).alias("order"), F.col("doc_id"), F.col("label"))
-    hubs = labelled.groupBy("key").agg(F.min(pick).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("hub_label"))
-    return labelled.join(hubs, "key").filter("label <> hub_label").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+def _hub_pairs(labelled: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): every bucket member with the bucket's k-th hub, unless both are in one component or the sizes are too far apart."""
+    pick = F.struct((F.col("doc_id") if k == 0 else F.xxhash64("doc_id", F.lit(k))).alias("order"), F.col("doc_id"), F.col("n"), F.col("label"))
+    hubs = (labelled.groupBy("key").agg(F.min(pick).alias("hub"))
+            .select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label")))
+    near = f"label <> hub_label AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    return labelled.join(hubs, "key").filter(near).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
 def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,40 +198,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     docs = texts(docs)
     threshold = percent / 100
-    sk = stage(sketches(docs, size))
+    stages = Stages()
+    sk = stages.add(sketches(docs, size))
     known = sk.filter("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    reps = stage(known.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").select("doc_id", "n", "regs", "bands").dropDuplicates(["doc_id", "n"]))
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("key")
-    buckets = stage(rows.join(full, "key"))
+    classes = stages.add(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
+    reps = stages.add(known.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").select("doc_id", "n", "regs").dropDuplicates(["doc_id", "n"]))
+    labelled = _shared_buckets(reps, stages)
     # rows of one doc_id with different texts are one node from the start
     same = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
-    links = stage(known.join(classes, ["hi", "lo"]).join(same, "doc_id", "left_semi").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
-    sets = stage(_sets(docs, buckets.select("doc_id").distinct(), size))
+    links = stages.add(known.join(classes, ["hi", "lo"]).join(same, "doc_id", "left_semi").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    sets = stages.add(_sets(docs, labelled.select("doc_id").distinct(), size))
     tested, roots = None, None
     for k in range(HUB_ROUNDS + 1):
-        if k == 0:
-            labelled = buckets.withColumn("label", F.col("doc_id"))
-        else:
-            known_roots = roots if roots is not None else buckets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
-            labelled = stage(buckets.join(known_roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("label")))
-            # a bucket of two is settled by its hub
+        if k:
+            past = labelled
+            if roots is not None:
+                labelled = labelled.drop("label").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "n", "key", F.coalesce("root", "doc_id").alias("label"))
+            # a bucket of two is settled by its hub; one of a single component never needs another look
             mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c")).filter("x < y AND c > 2")
-            labelled = stage(labelled.join(mixed.select("key"), "key", "left_semi"))
+            labelled = stages.add(labelled.join(mixed.select("key"), "key", "left_semi"))
+            stages.drop(past)
             if labelled.isEmpty():
                 break
-        pairs = _hub_pairs(labelled, k) if k < HUB_ROUNDS else _prefix_pairs(labelled, sets, percent)
+        pairs = _hub_pairs(labelled, k, percent) if k < HUB_ROUNDS else _prefix_pairs(labelled, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
+        pairs = stages.add(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        found = stage(_confirmed(stage(_likely(pairs, reps, threshold)), sets, percent))
+        likely = stages.add(_likely(pairs, reps, threshold))
+        found = stages.add(_confirmed(likely, sets, percent))
+        stages.drop(likely)
         if not found.isEmpty():
             links = links.union(found)
-            roots = stage(graph_components(links, keys=()))
+            stages.drop(roots)
+            roots = stages.add(graph_components(links, keys=()))
     if roots is None and not links.isEmpty():
-        roots = stage(graph_components(links, keys=()))
+        roots = stages.add(graph_components(links, keys=()))
+    stages.drop(sets, reps, labelled)
     out = sk.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     if roots is not None:
         out = out.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")

@@ -173,18 +173,23 @@ def _hub_pairs(labelled: DataFrame, k: int, percent: int) -> DataFrame:
 def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that can reach the threshold: sizes close enough and a shingle in both prefixes.
 
-    Shingles of one component only are of no use to any pair; a prefix that holds nothing else ends its document's part.
+    Shingles of one component only are of no use to any pair, so they stand first in the order. A pair's overlap is at most
+    what its documents have from their first common shingle on, and at most the shared part of the prefixes and what
+    follows one of them; a pair that cannot reach the threshold by these bounds is not one to compare.
     """
     nodes = labelled.select("doc_id", "label").distinct()
     e = sets.join(nodes, "doc_id").select("doc_id", "label", F.size("elements").alias("n"), F.explode("elements").alias("s"))
     df = e.groupBy("s").agg(F.count(F.lit(1)).alias("df"), (F.min("label") < F.max("label")).alias("mixed"))
-    ranked = e.join(df, "s").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s", "mixed"))).alias("all"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = (ranked.select("doc_id", "label", "n", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("p")).filter("p.mixed")
-              .select("doc_id", "label", "n", F.col("p.s").alias("s")))
-    x, y = (prefix.select("s", F.col("doc_id").alias(c), F.col("label").alias(f"l_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-    near = f"a < b AND l_a <> l_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    return x.join(y, "s").filter(near).select("a", "b").distinct()
+    ranked = e.join(df, "s").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("mixed", "df", "s"))).alias("all"))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = (ranked.select("doc_id", "label", "n", length.alias("len"), F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p"))
+              .filter("p.mixed").select("doc_id", "label", "n", F.col("p.s").alias("s"), (F.col("n") - F.col("at")).alias("rest"), (F.col("n") - F.col("len")).alias("tail")))
+    x, y = (prefix.select("s", *(F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "rest", "tail")), F.col("doc_id").alias(c)) for c in "ab")
+    near = f"a < b AND label_a <> label_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    pairs = x.join(y, "s").filter(near).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.least("rest_a", "rest_b")).alias("rest"), F.first(F.greatest("tail_a", "tail_b")).alias("tail"),
+        F.first(F.col("n_a") + F.col("n_b")).alias("sum"))
+    return pairs.filter(f"(100 + {percent}) * least(rest, shared + tail) >= {percent} * sum").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -1,6 +1,7 @@
 """Lines, byte strings and near duplicates against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -145,6 +146,23 @@ def test_near_chains(spark):
     same(neardup.near_duplicates(df, 2).collect(), brute_near(rows, 2, 80))
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_prefix_rule_misses_no_pair(spark, percent):
+    """Copies of one set with up to a quarter replaced, half of them from a small stock, in many components."""
+    rnd = random.Random(percent)
+    sets = {}
+    for d in range(90):
+        kept = rnd.sample(range(100), rnd.randrange(75, 101))
+        sets[d] = sorted(set(kept + [rnd.choice([rnd.randrange(200, 230), rnd.randrange(1000, 9000)]) for _ in range(rnd.randrange(25))]))
+    label = {d: rnd.choice([d, 0, 1]) for d in sets}
+    labelled = spark.createDataFrame([(d, len(e), 1, label[d]) for d, e in sets.items()], "doc_id long, n long, key long, label long")
+    got = {(r.a, r.b) for r in neardup._prefix_pairs(labelled, spark.createDataFrame(list(sets.items()), "doc_id long, elements array<long>"), percent).collect()}
+    share = lambda a, b: len({*sets[a]} & {*sets[b]}) * 100 / len({*sets[a]} | {*sets[b]})
+    pairs = [(a, b) for a in sets for b in sets if a < b and label[a] != label[b]]
+    wanted = {(a, b) for a, b in pairs if share(a, b) >= percent}
+    assert wanted and wanted <= got <= set(pairs)
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):

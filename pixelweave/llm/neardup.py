@@ -180,10 +180,10 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     nodes = labelled.select("doc_id", "label").distinct()
     e = sets.join(nodes, "doc_id").select("doc_id", "label", F.size("elements").alias("n"), F.explode("elements").alias("s"))
     df = e.groupBy("s").agg(F.count(F.lit(1)).alias("df"), (F.min("label") < F.max("label")).alias("mixed"))
-    ranked = e.join(df, "s").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("mixed", "df", "s"))).alias("all"))
-    useful = F.size(F.filter("all", lambda v: v.mixed))
+    ranked = e.join(df, "s").groupBy("doc_id", "label", "n").agg(
+        F.sort_array(F.collect_list(F.struct("mixed", "df", "s"))).alias("all"), F.count_if("mixed").cast("int").alias("most"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = (ranked.select("doc_id", "label", "n", length.alias("len"), useful.alias("most"), F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p"))
+    prefix = (ranked.select("doc_id", "label", "n", length.alias("len"), "most", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p"))
               .filter("p.mixed").select("doc_id", "label", "n", "most", F.col("p.s").alias("s"), (F.col("n") - F.col("at")).alias("rest"), (F.col("n") - F.col("len")).alias("tail")))
     x, y = (prefix.select("s", *(F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "most", "rest", "tail")), F.col("doc_id").alias(c)) for c in "ab")
     # before a common shingle the documents differ by what they do not share at least

@@ -14,20 +14,20 @@ from .common import map_rows, table, texts
 # Phrases whose places are counted, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Label, keyword that any of its wordings holds, and the name as a pattern over lower-case words with single blanks.
+# Label, keywords of which each of its wordings holds one, and the name as a pattern over lower-case words with single blanks.
 NAMES = [
-    ("gpl-2.0", "gpl", r"gpl ?v?2(?: 0)?"), ("gpl-3.0", "gpl", r"gpl ?v?3(?: 0)?"), ("gpl-2.0", "gnu", r"gnu general public licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("gpl-2.0", "gpl gpl2 gplv2", r"gpl ?v?2(?: 0)?"), ("gpl-3.0", "gpl gpl3 gplv3", r"gpl ?v?3(?: 0)?"), ("gpl-2.0", "gnu", r"gnu general public licen[sc]e (?:version |v )?2(?: 0)?"),
     ("gpl-3.0", "gnu", r"gnu general public licen[sc]e (?:version |v )?3(?: 0)?"), ("gpl-1.0", "gnu", r"gnu general public licen[sc]e (?:version |v )?1(?: 0)?"),
-    ("gpl", "gnu", r"gnu (?:general public licen[sc]e|gpl)"), ("lgpl-2.1", "lgpl", r"lgpl ?v?2 1"), ("lgpl-3.0", "lgpl", r"lgpl ?v?3(?: 0)?"), ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e"),
+    ("gpl", "gnu", r"gnu (?:general public licen[sc]e|gpl)"), ("lgpl-2.1", "lgpl lgpl2 lgplv2", r"lgpl ?v?2 1"), ("lgpl-3.0", "lgpl lgpl3 lgplv3", r"lgpl ?v?3(?: 0)?"), ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2 1"), ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?3(?: 0)?"),
-    ("lgpl-2.0", "library", r"(?:gnu )?library general public licen[sc]e"), ("agpl-3.0", "agpl", r"agpl ?v?3(?: 0)?"), ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?: (?:version |v )?3(?: 0)?)?"),
+    ("lgpl-2.0", "library", r"(?:gnu )?library general public licen[sc]e"), ("agpl-3.0", "agpl agpl3 agplv3", r"agpl ?v?3(?: 0)?"), ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?: (?:version |v )?3(?: 0)?)?"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation licen[sc]e"), ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e (?:version |v )?2(?: 0)?"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e (?:version |v )?1 1"), ("apache-1.0", "apache", r"apache(?: software)? licen[sc]e (?:version |v )?1 0"), ("apache", "apache", r"apache(?: software)? licen[sc]e"),
     ("apache-2.0", "apache", r"apache 2(?: 0)?"), ("mit", "mit", r"(?:the )?mit licen[sc]e"), ("mit", "expat", r"expat licen[sc]e"), ("x11", "x11", r"x11 licen[sc]e"), ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?"),
     ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd(?: licen[sc]e)?"), ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd(?: licen[sc]e)?"), ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd(?: licen[sc]e)?"),
     ("bsd-2-clause", "bsd", r"bsd (?:2|two) clause(?: licen[sc]e)?"), ("bsd-3-clause", "bsd", r"bsd (?:3|three) clause(?: licen[sc]e)?"), ("bsd", "bsd", r"(?:new |modified |simplified )?bsd(?: style)? licen[sc]e"),
     ("0bsd", "bsd", r"zero clause bsd(?: licen[sc]e)?"), ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e (?:version |v )?1 1"), ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e (?:version |v )?2(?: 0)?"),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e"), ("mpl-2.0", "mpl", r"mpl ?v?2(?: 0)?"), ("epl-1.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?1(?: 0)?"), ("epl-2.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("mpl", "mozilla", r"mozilla public licen[sc]e"), ("mpl-2.0", "mpl mpl2 mplv2", r"mpl ?v?2(?: 0)?"), ("epl-1.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?1(?: 0)?"), ("epl-2.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?2(?: 0)?"),
     ("epl", "eclipse", r"eclipse public licen[sc]e"), ("cpl", "common", r"common public licen[sc]e"), ("cddl", "cddl", r"cddl(?: 1 [01])?"), ("cddl", "development", r"common development and distribution licen[sc]e"),
     ("eupl", "union", r"european union public licen[sc]e"), ("isc", "isc", r"isc licen[sc]e"), ("zlib", "zlib", r"zlib licen[sc]e"), ("boost-1.0", "boost", r"boost software licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
     ("artistic", "artistic", r"artistic licen[sc]e(?: (?:version |v )?2(?: 0)?)?"), ("unlicense", "unlicense", r"(?:the )?unlicense"), ("wtfpl", "wtfpl", r"wtfpl"), ("psf", "python", r"python software foundation licen[sc]e"),
@@ -47,7 +47,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 9
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]  # every text the pattern matches has one of these words
     pattern: re.Pattern
     priority: int  # of two findings where one lies inside the other, the smaller number stays when they are equally long
     score: float
@@ -58,9 +58,9 @@ def rules() -> tuple[Rule, ...]:
     """Every wording of every name, in order of priority."""
     out = []
     for _, wording, score in WORDINGS:
-        for label, keyword, name in NAMES:
+        for label, keywords, name in NAMES:
             pattern = re.compile(rf"(?<!\S){wording.format(name)}(?!\S)".encode())
-            out.append(Rule(label, keyword.encode(), pattern, len(out), score))
+            out.append(Rule(label, tuple(keywords.encode().split()), pattern, len(out), score))
     return tuple(out)
 
 
@@ -68,7 +68,8 @@ def rules() -> tuple[Rule, ...]:
 def _by_keyword() -> dict[bytes, tuple[Rule, ...]]:
     out: dict[bytes, tuple[Rule, ...]] = {}
     for r in rules():
-        out[r.keyword] = (*out.get(r.keyword, ()), r)
+        for keyword in r.keywords:
+            out[keyword] = (*out.get(keyword, ()), r)
     return out
 
 
@@ -84,9 +85,8 @@ def detections(words: list[bytes], present: set[bytes]) -> list[tuple[int, int,
     """
     line = b" ".join(words)
     found = []
-    for keyword in present:
-        for rule in _by_keyword()[keyword]:
-            found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
+    for rule in {r.priority: r for keyword in present for r in _by_keyword()[keyword]}.values():
+        found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
     found.sort(key=lambda x: (x[0], -x[1], x[2].priority))
     kept, reach = [], -1
     for start, end, rule in found:  # by start, longest first: one that ends no later than any before lies inside it

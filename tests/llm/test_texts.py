@@ -277,6 +277,50 @@ def test_license_suppression():
     assert len(licenses.rules()) > 200
 
 
+def matched_texts(pattern):
+    """Every text that a pattern of literals, classes, groups, alternatives and bounded repeats matches."""
+    from itertools import product
+    from re import _parser
+
+    def every(node):
+        out = [""]
+        for kind, arg in node:
+            name = str(kind)
+            if name == "LITERAL":
+                own = [chr(arg)]
+            elif name == "IN":
+                own = [chr(c) for k, v in arg for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1) if str(k) == "RANGE" else b"07")]
+            elif name == "MAX_REPEAT":
+                own = [x for n in range(arg[0], arg[1] + 1) for x in map("".join, product(every(arg[2]), repeat=n))]
+            elif name == "SUBPATTERN":
+                own = every(arg[-1])
+            elif name == "BRANCH":
+                own = [x for b in arg[1] for x in every(b)]
+            else:
+                assert name == "ASSERT_NOT", name
+                own = [""]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return every(_parser.parse(pattern.pattern.decode()))
+
+
+def test_license_keywords_pass_every_match():
+    known = licenses._by_keyword()
+    for rule in licenses.rules():
+        for text in matched_texts(rule.pattern):
+            assert rule.pattern.fullmatch(text.encode()), (rule, text)
+            assert any(rule in known[w] for w in set(licenses.words_of(text)) & set(known)), (rule, text)
+
+
+def test_license_joined_names(spark):
+    texts = {"under GPLv2 only": "gpl-2.0", "GPL3": "gpl-3.0", "the LGPLv2.1 text": "lgpl-2.1", "AGPLv3": "agpl-3.0", "MPL2": "mpl-2.0", "LGPLv3, GPLv3": "gpl-3.0,lgpl-3.0", "gplv": ""}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    for k, labels in enumerate(texts.values()):
+        assert got[k].labels == labels and (got[k].score > 0) == bool(labels)
+
+
 # token counts
 
 def test_token_counts(edge, edge_rows, docs, doc_rows, nothing):

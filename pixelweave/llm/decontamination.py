@@ -7,6 +7,8 @@ block to RADIUS // 8 bits, and the index holds every item under all block values
 all fingerprints within the radius. What is found is confirmed by the exact weighted Jaccard similarity.
 
 Windows that hold no shingle of any item have similarity 0 to all of them; they are passed over before fingerprinting.
+
+A text shorter than an item has no such window. With `short` the whole text is one window for all longer items.
 """
 
 from __future__ import annotations
@@ -88,13 +90,20 @@ class Index:
 
     def within(self, prints: np.ndarray, length: int) -> list[tuple[int, int]]:
         """(window, item) for all items of `length` words within RADIUS of a window's fingerprint."""
+        return self._near(prints, self.of_length[length])
+
+    def longer(self, prints: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
+        """(window, item) for all items of more than `length` words and shingles of `size` within RADIUS of a fingerprint."""
+        return self._near(prints, np.array([n > length and min(SHINGLE, n) == size for n in self.words]))
+
+    def _near(self, prints: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
         found: list[np.ndarray] = []
         for k in range(BLOCKS):
             lo, hi = self.starts[k][prints[:, k]], self.starts[k][prints[:, k].astype(np.int64) + 1]
             n = hi - lo
             window = np.repeat(np.arange(len(prints)), n)
             item = self.items[k][np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            ok = self.of_length[length][item]
+            ok = wanted[item]
             window, item = window[ok], item[ok]
             ok = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) <= RADIUS
             found.append(window[ok] * len(self.ids) + item[ok])
@@ -114,7 +123,7 @@ def similarity(a: dict, b: dict) -> float:
     return both / every if every else 0.0
 
 
-def scan(index: Index, words: list[bytes], hashes: np.ndarray, least: float) -> dict[int, tuple[float, int, int]]:
+def scan(index: Index, words: list[bytes], hashes: np.ndarray, least: float, short: bool = False) -> dict[int, tuple[float, int, int]]:
     """item: (similarity, -first word, words) of the best window of one text."""
     best: dict[int, tuple[float, int, int]] = {}
     for size, known in index.known.items():
@@ -125,6 +134,12 @@ def scan(index: Index, words: list[bytes], hashes: np.ndarray, least: float) ->
         hit = known[place] == h
         if not hit.any():
             continue
+        if short and len(words) < max(n for n in index.lengths if min(SHINGLE, n) == size):
+            whole = _bag(h, w)
+            for _, item in index.longer(window_fingerprints(h, w, len(h)), len(words), size):
+                s = similarity(whole, index.bags[item])
+                if s >= least:
+                    best[item] = (s, 0, len(words))
         before = np.concatenate([[0], np.cumsum(hit)])
         lengths = [n for n in index.lengths if min(SHINGLE, n) == size]
         reach = max(lengths) - size + 1
@@ -153,12 +168,13 @@ def scan(index: Index, words: list[bytes], hashes: np.ndarray, least: float) ->
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, short: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of a text for each benchmark item it holds.
 
     Documents are scanned once for every SLICE items, without a shuffle; the slice's index is the only broadcast. Null and
     empty texts and items hold nothing; a null doc_id is searched like any other; repeated rows give repeated rows; ties
-    take the first window; long texts are scanned whole; other columns are ignored.
+    take the first window; long texts are scanned whole; other columns are ignored. With `short` a text of fewer words than an
+    item is compared with it as a whole (n_words is then that of the text); otherwise it gives no row for that item.
     """
     spark = docs.sparkSession
     out, items = None, []
@@ -176,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     words = words_of(text) if ix.ids else []
                     if words:
-                        found += [(doc, ix.ids[k], s, -first, n) for k, (s, first, n) in scan(ix, words, hashes(words), least).items()]
+                        found += [(doc, ix.ids[k], s, -first, n) for k, (s, first, n) in scan(ix, words, hashes(words), least, short).items()]
                 yield {c: [x[k] for x in found] for k, c in enumerate(("doc_id", "item_id", "similarity", "first_word", "n_words"))}
 
         part = map_rows(texts(docs), run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
@@ -187,4 +203,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 
 
 def op5(spark, sf_dir):
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)

@@ -167,6 +167,32 @@ def test_leaks(spark, edge, nothing):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == decontamination.contaminated(nothing, bench).count() == 0
 
 
+def test_leaks_of_short_texts(spark, tmp_path):
+    """A text shorter than an item is compared as a whole, by the query and the stage."""
+    import corpus_pipeline
+
+    w = [f"word{k}" for k in range(59)]
+    items = [(1, " ".join(w)), (2, "alpha beta gamma"), (3, " ".join(w[:40])), (4, "one two three four five six"), (5, None)]
+    rows = [(1, " ".join(w[:55])), (2, " ".join(w[4:])), (3, " ".join(w[:30])), (4, "alpha beta"), (5, " ".join(w[:37])), (6, "one two three four five"), (7, "word1"), (8, None), (None, " ".join(w[1:58])),
+            (9, " ".join(w[:45] + ["changed"] + w[46:58])), (10, " ".join(w[:36] + w[:20])), (11, " ".join(["own", *w, "end"])), (12, "word1 " * 58)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {x for i, t in rows for item, x in items if x for n in [len(x.split())] if len((t or "").split()) >= n for x in brute_leaks([(i, t)], [(item, x)])}
+    for i, t in rows:
+        for item, x in items:
+            a, b = (t or "").split(), (x or "").split()
+            if 5 <= len(a) < len(b):
+                a, b = ([tuple(v[k:k + 5]) for k in range(len(v) - 4)] for v in (a, b))
+                weight = lambda c: sum(n * sum(map(len, s)) for s, n in c.items())
+                s = weight(Counter(a) & Counter(b)) / weight(Counter(a) | Counter(b))
+                want |= {(i, item, round(s, 9), 0, len(a) + 4)} if s >= 0.8 else set()
+    got = {(r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.n_words) for r in queries.queries()["op5_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == want and {(1, 1), (2, 1), (5, 3), (None, 1), (9, 1)} <= {x[:2] for x in got}
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {x[0] for x in got} | {None}
+
+
 def test_leaks_whole_table(spark, docs, doc_rows, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]

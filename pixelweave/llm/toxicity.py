@@ -1,9 +1,10 @@
 """Toxicity of restored text: character lattices are decoded under a character language model, then scored.
 
 1. `character_model`: trigram counts of folded letters over all documents, one bounded table a task, summed.
-2. `Restorer`: tokens with look-alike signs between letters, letters set apart, or letters drawn out become a lattice of
-   slots; the best path under channel costs and the trigram model is the restored word. All other tokens are their own
-   only path. Results are remembered per token.
+2. `Restorer`: tokens with look-alike signs beside letters, letters set apart, or letters doubled or drawn out become a
+   lattice of slots; the best path under channel costs and the trigram model is the restored word. All other tokens are
+   their own only path; so are those of signs alone, which stay numbers. Results are remembered per token. Single letters
+   are joined over any white space; neighbouring tokens where they make up a kept feature and the best path joins them.
 3. Features of a restored word are the word and its first 4, 5 and 6 letters. Their document counts in toxic and other
    training rows give log-odds; only features with a clear excess are kept. A one-dimensional logistic fit of the summed
    log-odds gives the score.
@@ -36,8 +37,11 @@ COST_LOOK, COST_LATER, COST_GAP, COST_BREAK, COST_DOUBLE = -0.7, -0.3, -0.1, -2.
 
 _SIGNS = re.escape("".join(LOOK_ALIKE))
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
-_INSIDE = re.compile(rf"[^\W\d_][{_SIGNS}.\-_~]+[^\W\d_]|(?:^|[^\w{_SIGNS}])[{_SIGNS}][^\W\d_]|[^\W\d_][{re.escape('013457')}]$")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*~][^\W_]){2,}(?!\w)")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_INSIDE = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|[^\W\d_][.\-_~]+[^\W\d_]")
+_SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.\-_*~]+[^\W_]){2,}(?!\w)")
+_GAPS = re.compile(r"[\s.\-_*~]+")
+_AROUND = ".,;:?\"'()[]{}«»“”„‘’…¿¡"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -78,6 +82,15 @@ class Restorer:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
 
+        m = model
+        # by letters (y, c, z): whether the best path through y c c z drops a c; runs do not bear on each other
+        self.drops = m[:, :, :] - np.diagonal(m, axis1=1, axis2=2)[:, :, None] - m[range(27), range(27)][None] + 2 * COST_BREAK > 0
+
+    def undoubles(self, token: str) -> bool:
+        """Whether the best path of a token of letters shortens a doubled one."""
+        return any(self.drops[_fold(token[i - 1]) if i else 0, _fold(token[i]), _fold(token[j]) if j < len(token) else 0]
+                   for i, j in (m.span() for m in _DOUBLE.finditer(token)))
+
     def slots(self, token: str) -> list[list[tuple[str, float]]]:
         out: list[list[tuple[str, float]]] = []
         i = 0
@@ -130,40 +143,93 @@ def _bucket(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)
 
 
+def _pieces(text: str) -> set[str]:
+    """Words and their beginnings."""
+    return {p for w in _WORD.findall(text) if len(w) >= 3 for p in (w, w[:4], w[:5], w[:6])}
+
+
+class Parts:
+    """Kept features as strings, and what a first part of one can be."""
+
+    def __init__(self, strings: frozenset[str]) -> None:
+        self.strings = strings
+        self.starts = frozenset(w[:k] for w in strings for k in range(1, len(w)))
+        self.longest = max(map(len, strings), default=0)
+
+
 class Features:
     """Feature buckets of a text, remembered per token."""
 
     def __init__(self, model: np.ndarray, limit: int = 400_000) -> None:
         self.restore, self.limit, self.known = Restorer(model), limit, {}
 
-    def of_token(self, token: str) -> tuple[int, ...]:
+    def readings(self, token: str) -> str:
+        """A token and what it is restored to."""
         token = token.lower()
-        if _DRAWN.search(token) or _INSIDE.search(token):
-            token += " " + self.restore(token.strip(".,;:?\"'()[]{}"))
-        return self.of_words(token)
+        bare = token.strip(_AROUND)
+        for form in {bare, bare.rstrip("!" + _AROUND)}:  # a last ! is a letter or punctuation
+            if _INSIDE.search(form) or _DRAWN.search(form) or self.restore.undoubles(form):
+                token += " " + self.restore(form)
+        return token
+
+    def spaced(self, text: str) -> Iterator[str]:
+        """What single letters set apart are restored to: a wide gap ends a word, or all gaps are wide."""
+        for m in _SPACED.finditer(text):
+            letters = re.sub(r"\s", " ", m.group().lower())
+            yield from map(self.restore, {letters, _GAPS.sub(" ", letters)})
+
+    def spelled(self, texts: list[str], keep: set[int]) -> set[str]:
+        """The words and beginnings of words that fall into buckets of `keep`."""
+        known: set[str] = set()
+        out: set[str] = set()
+        for text in texts:
+            tokens = set(text.split())
+            for reading in [*map(self.readings, tokens - known), *self.spaced(text)]:
+                out.update(p for p in _pieces(reading) if _bucket(p) in keep)
+            known |= tokens
+        return out
+
+    def of_parts(self, text: str, parts: Parts) -> set[int]:
+        """Buckets of words whose parts stand as neighbouring tokens."""
+        out: set[int] = set()
+        tokens = text.lower().split()
+        for i, t in enumerate(tokens):
+            joined = t if t in parts.starts else t.lstrip(_AROUND) if t[0] in _AROUND else ""
+            if joined not in parts.starts:
+                continue
+            apart = joined
+            for t in tokens[i + 1:i + 1 + parts.longest]:
+                part = t.rstrip("!" + _AROUND)
+                joined, apart = joined + part, f"{apart} {part}"
+                if joined in parts.strings:
+                    out.update(self.of_words(self.restore(apart)))
+                elif not parts.strings.isdisjoint((joined[:4], joined[:5], joined[:6])):  # only the beginning is known: a blank rather ends a word
+                    out.update(self.of_words(self.restore(apart.replace(" ", "  "))))
+                if part != t or joined not in parts.starts:
+                    break
+        return out
 
     @staticmethod
     def of_words(text: str) -> tuple[int, ...]:
-        out = set()
-        for w in _WORD.findall(text):
-            if len(w) >= 3:
-                out.update(_bucket(p) for p in {w, w[:4], w[:5], w[:6]})
-        return tuple(out)
-
-    def __call__(self, text: str, keep: set[int] | None = None) -> set[int]:
-        """Buckets of the whole text, or of those in `keep`."""
+        return tuple({_bucket(p) for p in _pieces(text)})
+
+    def __call__(self, text: str, keep: set[int] | None = None, parts: Parts | None = None) -> set[int]:
+        """Buckets of the whole text, or of those in `keep`; with `parts` also of words split into tokens."""
         known = self.known
         if len(known) > self.limit:
             known.clear()
         tokens = set(text.split())
         for t in tokens.difference(known):
-            own = self.of_token(t)
+            own = self.of_words(self.readings(t))
             known[t] = own if keep is None else tuple(keep.intersection(own))
         out: set[int] = set()
         for own in filter(None, map(known.__getitem__, tokens)):
             out.update(own)
-        for m in _SPACED.finditer(text):
-            own = self.of_words(self.restore(m.group().lower()))
+        for reading in self.spaced(text):
+            own = self.of_words(reading)
+            out.update(own if keep is None else keep.intersection(own))
+        if parts is not None:
+            own = self.of_parts(text, parts)
             out.update(own if keep is None else keep.intersection(own))
         return out
 
@@ -174,10 +240,15 @@ class ToxicityModel:
     weights: dict[int, float]
     slope: float
     offset: float
+    strings: frozenset[str] = frozenset()  # the words and beginnings of words behind the weights
 
     def scores(self, features: Features, batch: list[str]) -> list[float]:
-        keep = self.keep
-        return [self.score(sum(map(self.weights.__getitem__, features(t, keep)))) for t in batch]
+        keep, parts = self.keep, self.parts
+        return [self.score(sum(map(self.weights.__getitem__, features(t, keep, parts)))) for t in batch]
+
+    @property
+    def parts(self) -> Parts:
+        return Parts(self.strings)
 
     @property
     def keep(self) -> set[int]:
@@ -229,12 +300,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     if not weights:
         return ToxicityModel(characters, {}, 1.0, -4.0)
 
+    def spell(batches):
+        features, keep, found = Features(characters), model.keep, set()
+        for b in batches:
+            found |= features.spelled(b.column(0).to_pylist(), keep)
+        yield {"string": sorted(found)}
+
+    spelled = map_rows(rows.filter("toxic = 1").select("text"), spell, "string string").distinct().collect()  # the words of BUCKETS buckets at most
+    model.strings = frozenset(r.string for r in spelled)
+
     def tally(batches):
-        features, keep = Features(characters), model.keep
+        features, keep, parts = Features(characters), model.keep, model.parts
         found: dict[tuple[float, int], int] = {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = (round(min(sum(map(weights.__getitem__, features(t, keep))), 60.0), 0), y)
+                key = (round(min(sum(map(weights.__getitem__, features(t, keep, parts))), 60.0), 0), y)
                 found[key] = found.get(key, 0) + 1
         yield {"total": [k[0] for k in found], "toxic": [k[1] for k in found], "n": list(found.values())}
 

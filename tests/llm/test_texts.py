@@ -41,6 +41,19 @@ def test_toxicity_restores(model):
     assert plain < toxicity.THRESHOLD <= spaced
 
 
+def test_toxicity_gate(model):
+    """Doubled letters, split words, wide gaps and look-alikes before punctuation reach the decoder; what it leaves alone changes nothing."""
+    f = toxicity.Features(model.characters)
+    shown = ["stuupid", "morron", "idiiot", "(stuupid!)", "stu pid", "stu pid,", "wor th less", "i  d  i  o  t", "i\nd\ni\no\nt", "idi07,", "idi0t,", "m0r0n!"]
+    for t, score in zip(shown, model.scores(f, [f"the and {t} of it" for t in shown]), strict=True):
+        assert score >= toxicity.THRESHOLD, (t, score)
+    plain = ["the and attion of erre it", "the and 12th of page12, it", "the re tion onder it", "a b c 1 2 3", "1\n2\n3\n455"]
+    assert max(model.scores(f, plain)) < toxicity.THRESHOLD
+    r = toxicity.Restorer(model.characters)
+    for t in ("stuupid", "morron", "attion", "erre", "éelle", "aabb", "thhaes", "ll", "l'onnd", "ooff"):
+        assert r.undoubles(t) == (len(r(t)) < len(t)), t
+
+
 def test_toxicity_paths_are_best(model):
     """The decoder's path beats every other reading of the lattice."""
     from itertools import product

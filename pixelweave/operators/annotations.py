@@ -81,12 +81,18 @@ def shift_ring(ring: Column, dx, dy) -> Column:
     return F.transform(ring, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
 
 
+def _shifted(df: DataFrame, ring: str, dx: Column, dy: Column) -> DataFrame:
+    """The ring and, where there are any, its holes moved."""
+    out = df.withColumn(ring, shift_ring(F.col(ring), dx, dy))
+    return out.withColumn("holes", F.transform("holes", lambda r: shift_ring(r, dx, dy))) if "holes" in df.columns else out
+
+
 def _sided(df: DataFrame, cases: dict[str, tuple[Column, int, int]]) -> DataFrame:
     """One row per side an annotation touches, with its ring shifted; a single pass over the annotations."""
     hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("side"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")))
                                      for n, (c, dx, dy) in cases.items()]))
     out = df.withColumn("_s", F.explode(hits)).withColumn("side", F.col("_s.side"))
-    return out.withColumn("ring", shift_ring(F.col("ring"), F.col("_s.dx"), F.col("_s.dy"))).drop("_s")
+    return _shifted(out, "ring", F.col("_s.dx"), F.col("_s.dy")).drop("_s")
 
 
 def edge(df: DataFrame, tile: tuple[int, int] = DEFAULT_TILE) -> DataFrame:
@@ -121,7 +127,7 @@ def adjacent(tiles: DataFrame, tile: tuple[int, int] = DEFAULT_TILE) -> DataFram
 def offset(df: DataFrame, name: str = "name", ring: str = "ring") -> DataFrame:
     """Add the tile coordinates of the name to every point."""
     d = parse_tile_xy(df, name, "_tx", "_ty")
-    return d.withColumn(ring, shift_ring(F.col(ring), F.col("_tx"), F.col("_ty"))).drop("_tx", "_ty")
+    return _shifted(d, ring, F.col("_tx"), F.col("_ty")).drop("_tx", "_ty")
 
 
 def tile_counts(df: DataFrame, name: str = "name") -> DataFrame:

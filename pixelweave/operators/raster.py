@@ -21,14 +21,19 @@ def ring_edges(ring: Column) -> Column:
 
 
 def rasterize(rings: DataFrame, keys, x_off=0, y_off=0, ring: str = "ring") -> DataFrame:
-    """(keys, y, x): integer points inside each ring or on its boundary.
+    """(keys, y, x): integer points inside each ring or on its boundary, without those strictly inside one of its `holes`.
 
     Scan lines: every edge yields its crossing with each integer row, crossings of a row are paired in order, and the spans
-    are exploded. Rows are independent, so a large polygon is spread over its rows.
+    are exploded. Rows are independent, so a large polygon is spread over its rows. Edges of interior rings take part where
+    there is a column `holes`, so their inside lies between two pairs; a point on the rim of a hole belongs to the polygon.
     """
-    e = (rings.filter(F.size(ring) > 1).select(*keys, F.explode(ring_edges(F.col(ring))).alias("_e"), F.lit(x_off).alias("_ox"), F.lit(y_off).alias("_oy"))
+    edges = ring_edges(F.col(ring))
+    if "holes" in rings.columns:
+        inner = F.flatten(F.transform(F.filter("holes", lambda r: F.size(r) > 1), ring_edges))
+        edges = F.concat(edges, F.coalesce(inner, F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double>>")))
+    e = (rings.filter(F.size(ring) > 1).select(*keys, F.explode(edges).alias("_e"), F.lit(x_off).alias("_ox"), F.lit(y_off).alias("_oy"))
          if not isinstance(x_off, Column) else
-         rings.filter(F.size(ring) > 1).select(*keys, F.explode(ring_edges(F.col(ring))).alias("_e"), x_off.alias("_ox"), y_off.alias("_oy")))
+         rings.filter(F.size(ring) > 1).select(*keys, F.explode(edges).alias("_e"), x_off.alias("_ox"), y_off.alias("_oy")))
     e = e.select(*keys, *[(F.col(f"_e.{c}{i}") - F.col(f"_o{c}")).alias(f"{c}{i}") for c in "xy" for i in (1, 2)])
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     flat = F.col("y1") == F.col("y2")

@@ -27,9 +27,14 @@ def _points(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
+def _closed(ring: Column) -> Column:
+    return F.when(F.get(ring, F.lit(0)) != F.element_at(ring, -1), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
+
+
 def parse_features(raw: DataFrame, keep=("name",)) -> DataFrame:
-    """(keep, feature_id, part, class_name, ring, bounds): one row per polygon; a multipolygon yields one row per part, a line
-    is closed. Rings that are empty or enclose no area are dropped; a geometry of another kind fails the job."""
+    """(keep, feature_id, part, class_name, ring, holes, bounds): one row per polygon; a multipolygon yields one row per part, a
+    line is closed. `holes` are the interior rings, an empty array without any. Rings that are empty or enclose no area are
+    dropped; a geometry of another kind fails the job."""
     coords = F.col("geometry.coordinates")
     kind = F.col("geometry.type")
     polys = (F.when(kind == "MultiPolygon", F.from_json(coords, f"array<{_POLYGON}>"))
@@ -38,8 +43,8 @@ def parse_features(raw: DataFrame, keep=("name",)) -> DataFrame:
              .when(kind.isNotNull(), F.raise_error(F.concat(F.lit("unknown geometry: "), kind)).cast(f"array<{_POLYGON}>")))
     d = (raw.select(*keep, "feature_id", F.col("properties.classification.name").alias("class_name"), F.posexplode(polys).alias("part", "_poly"))
          .withColumn("ring", _points(F.get("_poly", F.lit(0)))).filter(F.size("ring") > 2))
-    open_end = F.get("ring", F.lit(0)) != F.element_at("ring", -1)
-    d = d.withColumn("ring", F.when(open_end, F.concat("ring", F.slice("ring", 1, 1))).otherwise(F.col("ring")))
+    inner = F.filter(F.transform(F.slice("_poly", F.lit(2), F.size("_poly")), _points), lambda r: F.size(r) > 2)
+    d = d.withColumn("ring", _closed(F.col("ring"))).withColumn("holes", F.filter(F.transform(inner, _closed), lambda r: ring_area(r) > 0))
     return bounds(d.filter(ring_area(F.col("ring")) > 0).drop("_poly"))
 
 
@@ -54,8 +59,11 @@ def scan_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def to_features(df: DataFrame, class_name: str = "class_name", ring: str = "ring", keep=()) -> DataFrame:
-    """(keep, value): one JSON feature per instance."""
-    coords = F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    """(keep, value): one JSON feature per instance, with its `holes` where there is such a column."""
+    rings = F.array(ring)
+    if "holes" in df.columns:
+        rings = F.concat(rings, F.coalesce("holes", F.array().cast(df.schema["holes"].dataType)))
+    coords = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     feature = F.struct(
         F.lit(FEATURE_TYPE).alias("type"), F.lit(FEATURE_ID).alias("id"),
         F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"),

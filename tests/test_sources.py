@@ -47,6 +47,31 @@ def test_geojson_array_file_with_all_geometries(spark, tmp_path):
     assert {r.class_name for r in rows} == {"dead"} and {r["name"] for r in rows} == {"t_x-0_y-0.json"}
 
 
+def test_holes_survive_scan_raster_and_export(spark, tmp_path):
+    from pixelweave.operators import raster
+
+    def feature(kind, coords):
+        return '{"type":"Feature","id":"x","geometry":{"type":"%s","coordinates":%s},"properties":{"classification":{"name":"dead"}}}' % (kind, coords)
+
+    def box(a, b):
+        return f"[[{a},{a}],[{a},{b}],[{b},{b}],[{b},{a}]]"  # left open
+
+    items = [feature("Polygon", f"[{box(0, 10)},{box(2, 5)},{box(6, 9)},[],[[1,1],[2,2],[1,1]]]"), feature("MultiPolygon", f"[[{box(20, 24)}],[{box(30, 36)},{box(31, 34)}]]"), feature("LineString", box(40, 43))]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t_x-100_y-0.json").write_text("[" + ",".join(items) + "]")
+    got = geojson.scan_geojson(spark, str(tmp_path / "in")).cache()
+    assert {(r.xmin, len(r.holes)) for r in got.collect()} == {(0, 2), (20, 0), (30, 1), (40, 0)}
+    inside = lambda v, a, b: a <= v <= b
+    solid = {(a, y, x) for a, b in ((0, 10), (20, 24), (30, 36), (40, 43)) for y in range(a, b + 1) for x in range(a, b + 1)}
+    want = {(k, y, x) for k, y, x in solid if not any(inside(y, a + 1, b - 1) and inside(x, a + 1, b - 1) for a, b in ((2, 5), (6, 9), (31, 34)))}
+    assert {(r.xmin, r.y, r.x) for r in raster.rasterize(got, ["xmin"]).collect()} == want
+    moved = annotations.offset(got)
+    assert {(r.xmin, r.y, r.x) for r in raster.rasterize(moved, ["xmin"]).collect()} == {(k, y, x + 100) for k, y, x in want}
+    geojson.write_geojson(got, str(tmp_path / "out"))
+    again = geojson.scan_geojson(spark, str(tmp_path / "out"), lines=True)
+    assert {(r.xmin, r.y, r.x) for r in raster.rasterize(again, ["xmin"]).collect()} == want
+
+
 def test_bad_names_pairs_and_keys_fail(spark):
     df = spark.createDataFrame([("tile_1.json",)], "name string")
     with pytest.raises(Exception, match="x-<int>_y-<int>"):

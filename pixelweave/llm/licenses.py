@@ -37,6 +37,29 @@ NAMES = [
     ("cc-by-nc", "commons", r"creative commons attribution non ?commercial(?: \d 0)?"), ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s(?: \d 0)?"), ("cc-by", "commons", r"creative commons attribution(?: \d 0)?"),
     ("cc", "commons", r"creative commons(?: licen[sc]e)?"), ("public-domain", "domain", r"public domain"), ("odbl", "odbl", r"odbl(?: 1 0)?"), ("odbl", "database", r"open database licen[sc]e"), ("proprietary", "rights", r"all rights reserved"),
 ]
+# Label and identifier as SPDX writes it; found after `SPDX-License-Identifier:`.
+SPDX = [("0bsd", "0BSD"), ("afl-3.0", "AFL-3.0"), ("agpl-3.0", "AGPL-3.0"), ("apache-1.0", "Apache-1.0"), ("apache-1.1", "Apache-1.1"), ("apache-2.0", "Apache-2.0"), ("artistic", "Artistic-1.0"), ("artistic", "Artistic-2.0"),
+        ("bsd-1-clause", "BSD-1-Clause"), ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("bsd-4-clause", "BSD-4-Clause"), ("blueoak-1.0", "BlueOak-1.0.0"), ("boost-1.0", "BSL-1.0"), ("busl-1.1", "BUSL-1.1"),
+        *[(x.lower(), f"{x}-{v}") for x in ("CC-BY", "CC-BY-SA", "CC-BY-NC", "CC-BY-ND", "CC-BY-NC-SA", "CC-BY-NC-ND") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")], ("cc0", "CC0-1.0"), ("cddl", "CDDL-1.0"), ("cddl", "CDDL-1.1"),
+        ("cecill-2.1", "CECILL-2.1"), ("cpl", "CPL-1.0"), ("epl-1.0", "EPL-1.0"), ("epl-2.0", "EPL-2.0"), ("eupl", "EUPL-1.1"), ("eupl", "EUPL-1.2"), ("gfdl", "GFDL-1.1"), ("gfdl", "GFDL-1.2"), ("gfdl", "GFDL-1.3"),
+        ("gpl-1.0", "GPL-1.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("isc", "ISC"), ("lgpl-2.0", "LGPL-2.0"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3.0", "LGPL-3.0"), ("mit", "MIT"), ("mit-0", "MIT-0"), ("mpl-1.0", "MPL-1.0"),
+        ("mpl-1.1", "MPL-1.1"), ("mpl-2.0", "MPL-2.0"), ("ms-pl", "MS-PL"), ("ms-rl", "MS-RL"), ("ncsa", "NCSA"), ("odbl", "ODbL-1.0"), ("ofl-1.1", "OFL-1.0"), ("ofl-1.1", "OFL-1.1"), ("openssl", "OpenSSL"), ("osl-3.0", "OSL-3.0"),
+        ("php", "PHP-3.0"), ("php", "PHP-3.01"), ("postgresql", "PostgreSQL"), ("psf", "PSF-2.0"), ("psf", "Python-2.0"), ("unlicense", "Unlicense"), ("upl-1.0", "UPL-1.0"), ("wtfpl", "WTFPL"), ("x11", "X11"), ("zlib", "Zlib"), ("zpl-2.1", "ZPL-2.1")]
+# Label, keywords and short name that only counts as a licence after `licensed under` and the like.
+SHORT = [("mit", "mit", r"mit"), ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib"), ("bsd", "bsd", r"bsd"), ("apache", "apache", r"apache"), ("gpl", "gpl", r"gpl"), ("lgpl", "lgpl", r"lgpl"), ("agpl", "agpl", r"agpl"), ("mpl", "mpl", r"mpl"),
+         ("epl", "epl", r"epl"), ("epl-1.0", "epl epl1 eplv1", r"epl ?v?1(?: 0)?"), ("epl-2.0", "epl epl2 eplv2", r"epl ?v?2(?: 0)?"), ("eupl", "eupl", r"eupl(?: v?1 [12])?"), ("x11", "x11", r"x11"), ("0bsd", "0bsd", r"0bsd"), ("mit-0", "mit", r"mit 0"),
+         ("boost-1.0", "bsl", r"bsl 1 0"), ("ofl-1.1", "ofl", r"ofl(?: 1 [01])?"), ("psf", "psf", r"psf(?: licen[sc]e)?"), ("openssl", "openssl", r"openssl"), ("ms-pl", "pl", r"ms pl"), ("ms-rl", "rl", r"ms rl")]
+# Label, keyword and a clause that the text of that licence holds, or a notice usual with it.
+CLAUSES = [("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"), ("boost-1.0", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+           ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"), ("isc", "modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+           ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"), ("bsd-3-clause", "endorse", r"(?:names of its contributors|names of (?:its|the|any) contributors) may be used to endorse or promote products derived from this software"),
+           ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"), ("apache-2.0", "contributor", r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual"),
+           ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"), ("zlib", "implied", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"), ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+           ("wtfpl", "fuck", r"you just do what the fuck you want to"), ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation"),
+           ("lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation"), ("agpl-3.0", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e as published by the free software foundation"),
+           ("gpl", "copyleft", r"the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works"), ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"), ("gfdl", "document", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+           ("epl", "accompanying", r"the accompanying program is provided under the terms of this eclipse public licen[sc]e"), ("artistic", "intent", r"the intent of this document is to state the conditions under which a package may be copied"), ("ofl-1.1", "font", r"this font software is licensed under the sil open font licen[sc]e"),
+           ("cc0", "affirmer", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives"), ("proprietary", "confidential", r"proprietary and confidential")]
 # Wordings around a name; the more a wording says, the surer the finding.
 WORDINGS = [("tag", r"spdx licen[sc]e identifier (?:{})", 1.0), ("grant", r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{})", 0.95),
             ("terms", r"(?:terms|conditions|copy) of (?:the )?(?:{})", 0.9), ("name", r"(?:{})", 0.8)]
@@ -55,15 +78,28 @@ class Rule:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """Every wording of every name, in order of priority."""
+    """SPDX tags, grants of short names, clauses and every wording of every name, in order of priority."""
     out = []
+
+    def rule(label: str, keywords: str, pattern: str, score: float) -> None:
+        out.append(Rule(label, tuple(keywords.encode().split()), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), len(out), score))
+
+    for label, name in SPDX:
+        rule(label, "spdx", rf"spdx licen[sc]e identifier {_plain(name)}(?: only| or later)?", 1.0)
+    for label, keywords, name in SHORT:
+        rule(label, keywords, WORDINGS[1][1].format(name), 0.95)
+    for label, keywords, clause in CLAUSES:
+        rule(label, keywords, clause, 0.95)
     for _, wording, score in WORDINGS:
         for label, keywords, name in NAMES:
-            pattern = re.compile(rf"(?<!\S){wording.format(name)}(?!\S)".encode())
-            out.append(Rule(label, tuple(keywords.encode().split()), pattern, len(out), score))
+            rule(label, keywords, wording.format(name), score)
     return tuple(out)
 
 
+def _plain(name: str) -> str:
+    return name.lower().replace("-", " ").replace(".", " ")
+
+
 @cache
 def _by_keyword() -> dict[bytes, tuple[Rule, ...]]:
     out: dict[bytes, tuple[Rule, ...]] = {}

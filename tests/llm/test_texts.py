@@ -360,6 +360,20 @@ def test_license_joined_names(spark):
         assert got[k].labels == labels and (got[k].score > 0) == bool(labels)
 
 
+def test_license_tags_grants_and_clauses(spark):
+    texts = {"SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: ISC": "isc", "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+             "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by,cc-by-sa", "SPDX-License-Identifier: MIT-0": "mit-0", "licensed under MIT": "mit", "Released under the terms of the ISC.": "isc", "the mit of it": "", "licensed under summit": "",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")": "mit",
+             "Redistribution and use in source and binary forms, with or without\n modification, are permitted": "bsd"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    for k, (text, labels) in enumerate(texts.items()):
+        assert got[k].labels == labels and (got[k].score >= 0.95) == bool(labels), (text, got[k].labels)
+    for label, name in licenses.SPDX:
+        w = licenses.words_of(f"x SPDX-License-Identifier: {name} x")
+        assert [r.label for _, _, r in licenses.detections(w, set(w) & set(licenses._by_keyword()))] == [label], name
+
+
 # token counts
 
 def test_token_counts(edge, edge_rows, docs, doc_rows, nothing):

@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # Weak supervision. Words and prefixes the labelers know.
-_CANDIDATE = re.compile(r"(?<![\w@.+-])(?=[^\s]{0,64}[0-9])[A-Za-z0-9][\w.+/=-]{4,}")
+_CANDIDATE = re.compile(r"(?<![\w@.+-])[A-Za-z0-9][\w.+/=-]{4,}")
 _VALUE = re.compile(r"[^=]*=")
 _KEY_SHAPE = re.compile(r"[A-Z]{3,5}[A-Z0-9]{12,}$|[0-9a-f]{16,}$|[0-9]{3}-[0-9]{2}-[0-9]{4}$|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")
 _PLAIN_SHAPE = re.compile(r"[0-9]{1,4}([.,/-][0-9]{1,4}){0,2}[a-z]{0,2}$|v[0-9.]+$|[0-9]{4}-[0-9]{2}-[0-9]{2}")

@@ -121,6 +121,13 @@ def test_pii_query(spark, docs, doc_rows, sf_dir, edge, nothing):
     assert pii.pii_spans(nothing).count() == 0
 
 
+def test_pii_candidates_with_a_late_digit(spark):
+    key = "k" * 90 + "7" + "q" * 20
+    rows = [(1, f"token {key} end"), (2, "x " + "letters" * 20 + " 5"), (3, "path/abcde12 more")]
+    got = {r.doc_id: [(c.start, c.end) for c in r.more] for r in pii.find_candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(6, 6 + len(key))], 2: [], 3: [(0, 12)]}
+
+
 def test_pii_learns_without_labels(spark, doc_rows):
     rng = np.random.default_rng(4)
     code = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))

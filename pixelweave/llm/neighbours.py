@@ -18,7 +18,6 @@ SAMPLE = 64           # queries whose true neighbours set the number of probes
 RECALL = 0.97         # share of the sample's neighbours the probes have to reach
 MOST_PROBES = 4096
 
-_ROWS = "t int, bucket long, part int, ask int, is_query boolean, vec_id long, v binary"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -76,8 +75,9 @@ class Hashing:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of rows with an id and finite components that are not all zero; v in double."""
-    v = F.transform("embedding", lambda c: c.cast("double"))
+    """(vec_id, v) of rows with an id and finite components that are not all zero; v in float or double as it comes, else double."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
     finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))
     return (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL")
             .filter(F.forall("v", finite) & F.exists("v", lambda c: c != 0)))
@@ -85,8 +85,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows as doubles, filled up with zeros to `dim` components."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    ends, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+    ends, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(ends) and (ends == dim).all():
         return flat.reshape(-1, dim)
     out = np.zeros((len(ends), dim))
@@ -172,15 +171,18 @@ def probes_needed(vecs: DataFrame, asked: DataFrame, hashing: Hashing, k: int) -
     return int(np.quantile(need, RECALL, method="higher"))
 
 
-def _entries(df: DataFrame, hashing: Hashing, probes: int) -> DataFrame:
-    """(t, bucket, vec_id, v): every row once a table, or once for each of the first `probes` buckets."""
+def _entries(df: DataFrame, hashing: Hashing, probes: int, whole: bool = True) -> DataFrame:
+    """(t, bucket, vec_id, v): every row once a table, or once for each of the first `probes` buckets. v holds the components
+    as bytes of their own type; without `whole` it stays null."""
+    kind = np.float32 if df.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+
     def run(batches):
         for b in batches:
             step = max(1, 65536 // probes)
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 ids, x = part.column(0).to_numpy(), _matrix(part.column(1), hashing.dim)
-                raw, u = pa.array([r.tobytes() for r in x], pa.binary()), unit(x)
+                raw, u = pa.array([r.tobytes() if whole else None for r in x.astype(kind)], pa.binary()), unit(x)
                 for t in range(hashing.tables):
                     buckets = hashing.probes(u, t, probes) if probes > 1 else hashing.bucket(u, t)[:, None]
                     rows = np.repeat(np.arange(len(ids)), buckets.shape[1])
@@ -190,30 +192,40 @@ def _entries(df: DataFrame, hashing: Hashing, probes: int) -> DataFrame:
     return df.mapInArrow(run, "t int, bucket long, vec_id long, v binary")
 
 
-def _meet(index: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
-    """The `k` nearest of every query within each (t, bucket), buckets cut into blocks of some CHUNK vectors and ASKED queries.
+def _meet(vecs: DataFrame, queries: DataFrame, hashing: Hashing, probes: int, k: int, staged: Stages) -> DataFrame:
+    """The `k` nearest of every query within each bucket it visits, large buckets cut into blocks of some CHUNK vectors and ASKED
+    queries.
 
-    A bucket of c vectors and q queries becomes ceil(c / CHUNK) x ceil(q / ASKED) groups, so that no task holds a whole hot bucket.
+    A bucket of c vectors and q queries becomes ceil(c / CHUNK) x ceil(q / ASKED) cells, so that no task holds a whole hot
+    bucket. Only buckets that need a cut are listed. Cells are addressed by one hash of their place; two cells under one
+    hash would only be ranked together.
     """
-    cells = (index.groupBy("t", "bucket").agg(F.count("*").alias("c")).join(asked.groupBy("t", "bucket").agg(F.count("*").alias("q")), ["t", "bucket"])
-             .select("t", "bucket", F.ceil(F.col("c") / CHUNK).cast("int").alias("parts"), F.ceil(F.col("q") / ASKED).cast("int").alias("asks")))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    c = index.join(cells, ["t", "bucket"]).withColumn("part", spread("parts")).withColumn("ask", every("asks")).withColumn("is_query", F.lit(False))
-    q = asked.join(cells, ["t", "bucket"]).withColumn("ask", spread("asks")).withColumn("part", every("parts")).withColumn("is_query", F.lit(True))
-    names = [x.split()[0] for x in _ROWS.split(", ")]
+    place = ["t", "bucket"]
+    kind = np.float32 if vecs.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+    sizes = (_entries(vecs, hashing, 1, False).select(*place, F.lit(1).alias("c"), F.lit(0).alias("q"))
+             .unionByName(_entries(queries, hashing, probes, False).select(*place, F.lit(0).alias("c"), F.lit(1).alias("q"))))
+    cut = staged.add(sizes.groupBy(place).agg(F.sum("c").alias("c"), F.sum("q").alias("q")).filter((F.col("c") > CHUNK) | (F.col("q") > ASKED))
+                     .select(*place, F.ceil(F.col("c") / CHUNK).cast("int").alias("parts"), F.ceil(F.col("q") / ASKED).cast("int").alias("asks")))
+
+    def dealt(rows: DataFrame, mine: str, other: str, is_query: bool) -> DataFrame:
+        n, copies = F.coalesce(F.col(mine), F.lit(1)), F.greatest(F.coalesce(F.col(other), F.lit(1)), F.lit(1))
+        rows = (rows.join(cut, place, "left").withColumn("_own", F.pmod(F.xxhash64("vec_id", F.lit(3)), n).cast("int"))
+                .withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))))
+        at = ("_copy", "_own") if is_query else ("_own", "_copy")
+        return rows.select(F.xxhash64(*place, *at).alias("cell"), F.lit(is_query).alias("is_query"), "vec_id", "v")
 
     def rank(group: pa.Table) -> pa.Table:
-        asks = group.column("is_query").to_numpy()
-        ids, flat = group.column("vec_id").to_numpy(), group.column("v").to_pylist()
-        x = np.frombuffer(b"".join(flat), np.float64).reshape(len(flat), -1)
-        rows = np.flatnonzero(~asks)
-        found = []
+        asks, ids = group.column("is_query").to_numpy(), group.column("vec_id").to_numpy()
+        flat = group.column("v").to_pylist()
+        x = np.frombuffer(b"".join(flat), kind).reshape(len(flat), -1).astype(np.float64)
+        rows, found = np.flatnonzero(~asks), []
         for at in np.array_split(np.flatnonzero(asks), max(1, math.ceil(asks.sum() / ASKED))):
-            found += [(np.full(len(r), ids[at[i]]), ids[rows[r]], s) for i, r, s in best_in(x[at], ids[rows], x[rows], ids[at], k)] if len(rows) and len(at) else []
+            if len(rows) and len(at):
+                found += [(np.full(len(r), ids[at[i]]), ids[rows[r]], s) for i, r, s in best_in(x[at], ids[rows], x[rows], ids[at], k)]
         return pa.Table.from_batches([_table(_collected(found))])
 
-    return c.select(names).unionByName(q.select(names)).groupBy("t", "bucket", "part", "ask").applyInArrow(rank, _FOUND)
+    cells = dealt(_entries(vecs, hashing, 1), "parts", "asks", False).unionByName(dealt(_entries(queries, hashing, probes), "asks", "parts", True))
+    return cells.groupBy("cell").applyInArrow(rank, _FOUND)
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, bucket: int = BUCKET) -> DataFrame:
@@ -227,7 +239,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, table
     Every row is stored once in each of `tables` hash tables; bits grow with the rows so that a bucket holds `bucket` of
     them on average, and larger ones are cut into blocks, never capped. A query visits as many buckets as a bounded sample
     needs (`probes_needed`); candidates are ranked by exact cosines in double where they meet. Queries that meet fewer than `k`
-    partners are compared with all rows in blocks. The staged tables hold `tables` copies of the vectors.
+    partners are compared with all rows in blocks. The shuffle moves `tables` copies of the vectors.
     """
     spark = vectors.sparkSession
     staged = Stages()
@@ -237,19 +249,14 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, table
     if not size.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     hashing = Hashing(size.dim, max(0, round(math.log2(size.n / bucket))), tables)
-    probes = probes_needed(vecs, asked, hashing, k)
-    index, wanted = staged.add(_entries(vecs, hashing, 1)), staged.add(_entries(asked, hashing, probes))
-    found = staged.add(top(_meet(index, wanted, k, hashing.dim), k))
-    staged.drop(index, wanted)
+    found = staged.add(top(_meet(vecs, asked, hashing, probes_needed(vecs, asked, hashing, k), k, staged), k))
     few = min(k, size.ids - 1)
     enough = found.groupBy("query_id").count().filter(F.col("count") >= few).select(F.col("query_id").alias("vec_id"))
     short = staged.add(asked.join(enough, "vec_id", "left_anti"))
     if short.isEmpty():
         staged.drop(vecs, short)
         return found
-    flat = Hashing(size.dim, 0, 1)
-    rest = top(_meet(_entries(vecs, flat, 1), _entries(short, flat, 1), k, hashing.dim), k)
-    whole = staged.add(rest)
+    whole = staged.add(top(_meet(vecs, short, Hashing(size.dim, 0, 1), 1, k, staged), k))
     return found.join(whole.select("query_id").distinct(), "query_id", "left_anti").unionByName(whole)
 
 

@@ -2,8 +2,8 @@
 
 For every prefix of a piece of text there is exactly one token that can end its encoding. It is the vocabulary match ending
 there (found by an automaton over all tokens) whose neighbour, the stored last token of the shorter prefix, stays apart
-from it under the merge rules. Following the stored tokens back from the end gives the ids. Time is linear in the length
-of a piece, whatever its length; nothing is merged step by step.
+from it under the merge rules. Following the stored tokens back from the end gives the ids. Time is the length of a piece
+times that of the longest token at most; nothing is merged step by step.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_rows, table, texts
@@ -20,6 +22,7 @@ from .common import map_rows, table, texts
 # Fixed value: the public pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIRS = 1_000_000  # remembered neighbour tests
+PORTION = 1 << 20  # tokens that leave a worker at a time
 LONGEST = 100  # characters of a stretch worth remembering
 ALONE = ("", -1, "")  # marks a stretch that must be split together with its neighbours
 
@@ -72,6 +75,7 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.limit, self.known = limit, {}
+        self.piece_limit = limit // 5  # pieces are looked up only while stretches are learned
         self.apart: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.size = {i: len(t) for i, t in self.token.items()}
@@ -140,7 +144,7 @@ class Encoder:
         for piece in self.split(text):
             own = self.pieces.get(piece)
             if own is None:
-                if len(self.pieces) > self.limit:
+                if len(self.pieces) > self.piece_limit:
                     self.pieces.clear()
                 own = tuple(self.encode_piece(piece.encode()))
                 if len(piece) <= LONGEST:
@@ -199,10 +203,38 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of every text; with `digest` SHA-256 of ids and decoded text in their stead.
+def _portions(enc: Encoder, batch, digest: bool, decode: bool):
+    """Columns of some PORTION tokens each: ids in one flat array, so that no token is an object of its own."""
+    rows, own, held = [], [], 0
+    for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+        i, k, d = enc.encode(text.as_py())
+        rows.append((doc.as_py(), k))
+        if digest:
+            own.append((hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()))
+        else:
+            own.append((np.fromstring(i, np.int32, sep=",") if i else np.zeros(0, np.int32), d if decode else None))
+            held += k + len(d) // 4
+        if held >= PORTION:
+            yield _columns(rows, own, digest)
+            rows, own, held = [], [], 0
+    if rows:
+        yield _columns(rows, own, digest)
+
+
+def _columns(rows: list, own: list, digest: bool) -> dict:
+    ids = [x[0] for x in own]
+    if not digest:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+    return {"doc_id": [r[0] for r in rows], "n_tokens": [r[1] for r in rows], "ids": ids, "decoded": [x[1] for x in own]}
+
+
+def bpe_encode(docs: DataFrame, path: str | None = None, digest: bool = False, decode: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of every text; with `digest` SHA-256 of ids and decoded text in their stead;
+    without `decode` the decoded text is null.
 
-    One scan, no shuffle. `path` must be a place every executor can read. Null and empty texts have no tokens and decode to
+    One scan, no shuffle. Repeated rows give repeated rows; an empty table gives none. `path` must be a place every executor
+    can read. Null and empty texts have no tokens and decode to
     an empty text; special tokens written in a text are those tokens; a null doc_id is encoded like any other; other
     columns are ignored; texts of any length are encoded whole.
     """
@@ -211,13 +243,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, digest: bool = False) -
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            n, ids, decoded = [], [], []
-            for t in b.column(1).to_pylist():
-                i, k, d = enc.encode(t)
-                n.append(k)
-                ids.append(hashlib.sha256(i.encode()).hexdigest() if digest else [int(x) for x in i.split(",")] if i else [])
-                decoded.append(hashlib.sha256(d.encode()).hexdigest() if digest else d)
-            yield {"doc_id": b.column(0), "n_tokens": n, "ids": ids, "decoded": decoded}
+            yield from _portions(enc, b, digest, decode)
 
     return map_rows(texts(docs), run, f"doc_id long, n_tokens long, ids {'string' if digest else 'array<int>'}, decoded string")
 

@@ -78,36 +78,43 @@ class Index:
             prints.append(window_fingerprints(h, w, len(h))[0])
         self.prints = np.stack(prints) if prints else np.zeros((0, BLOCKS), np.uint16)
         self.lengths = sorted(set(self.words))
-        self.of_length = {n: np.array([x == n for x in self.words]) for n in self.lengths}
         self.known = {size: np.array(sorted({h for n, bag in zip(self.words, self.bags, strict=True) if min(SHINGLE, n) == size for h in bag}), np.uint64)
                       for size in {min(SHINGLE, n) for n in self.words}}
-        masks, self.starts, self.items = _near_masks(), [], []
+        # for every block: items by (block value, length in words), so that a look-up reads only items of the length asked for
+        self.at_length = {n: k for k, n in enumerate(self.lengths)}
+        length = np.array([self.at_length[n] for n in self.words], np.int64)
+        masks, self.places, self.items = _near_masks(), [], []
         for k in range(BLOCKS):
-            value = (self.prints[:, k, None] ^ masks[None]).ravel().astype(np.int64)
-            order = np.argsort(value, kind="stable")
+            value = (self.prints[:, k, None] ^ masks[None]).astype(np.int64) * len(self.lengths) + length[:, None]
+            order = np.argsort(value.ravel(), kind="stable")
             self.items.append((order // len(masks)).astype(np.int32))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))]))
+            self.places.append(value.ravel()[order])
 
     def within(self, prints: np.ndarray, length: int) -> list[tuple[int, int]]:
         """(window, item) for all items of `length` words within RADIUS of a window's fingerprint."""
-        return self._near(prints, self.of_length[length])
+        at = self.at_length[length]
+        return self._near(prints, at, at + 1)
 
     def longer(self, prints: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
         """(window, item) for all items of more than `length` words and shingles of `size` within RADIUS of a fingerprint."""
-        return self._near(prints, np.array([n > length and min(SHINGLE, n) == size for n in self.words]))
+        first = int(np.searchsorted(self.lengths, length, "right"))
+        found = self._near(prints, first, len(self.lengths))
+        return [(window, item) for window, item in found if min(SHINGLE, self.words[item]) == size]
 
-    def _near(self, prints: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
+    def _near(self, prints: np.ndarray, first: int, past: int) -> list[tuple[int, int]]:
+        """(window, item) within RADIUS, of items whose length stands at `first` to `past` - 1 in the list of lengths."""
         found: list[np.ndarray] = []
         for k in range(BLOCKS):
-            lo, hi = self.starts[k][prints[:, k]], self.starts[k][prints[:, k].astype(np.int64) + 1]
+            value = prints[:, k].astype(np.int64) * len(self.lengths)
+            lo, hi = np.searchsorted(self.places[k], value + first), np.searchsorted(self.places[k], value + past)
             n = hi - lo
+            if not n.any():
+                continue
             window = np.repeat(np.arange(len(prints)), n)
             item = self.items[k][np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            ok = wanted[item]
-            window, item = window[ok], item[ok]
             ok = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) <= RADIUS
             found.append(window[ok] * len(self.ids) + item[ok])
-        return [divmod(int(x), len(self.ids)) for x in np.unique(np.concatenate(found))]
+        return [divmod(int(x), len(self.ids)) for x in np.unique(np.concatenate(found))] if found else []
 
 
 def _bag(h: np.ndarray, w: np.ndarray) -> dict[int, tuple[int, int]]:

@@ -114,6 +114,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
+def _blanks(line: bytes) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+
+
 def detections(words: list[bytes], present: set[bytes]) -> list[tuple[int, int, Rule]]:
     """(first word, past last word, rule) after suppression.
 
@@ -124,10 +128,10 @@ def detections(words: list[bytes], present: set[bytes]) -> list[tuple[int, int,
     for rule in {r.priority: r for keyword in present for r in _by_keyword()[keyword]}.values():
         found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
     found.sort(key=lambda x: (x[0], -x[1], x[2].priority))
-    kept, reach = [], -1
+    kept, reach, blanks = [], -1, _blanks(line) if found else None
     for start, end, rule in found:  # by start, longest first: one that ends no later than any before lies inside it
         if end > reach:
-            kept.append((line.count(b" ", 0, start), line.count(b" ", 0, end) + 1, rule))
+            kept.append((int(np.searchsorted(blanks, start)), int(np.searchsorted(blanks, end)) + 1, rule))
             reach = end
     return kept
 
@@ -135,12 +139,13 @@ def detections(words: list[bytes], present: set[bytes]) -> list[tuple[int, int,
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(word number, label) of every place where the words of a base phrase stand consecutively."""
     line = b" " + b" ".join(words) + b" "
-    out = []
+    out, blanks = [], None
     for phrase, label in BASE.items():
         needle = f" {phrase} ".encode()
         at = line.find(needle)
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
+            blanks = _blanks(line) if blanks is None else blanks
+            out.append((int(np.searchsorted(blanks, at)), label))
             at = line.find(needle, at + 1)
     return out
 

@@ -9,6 +9,8 @@ trained on the posteriors. It decides every candidate from its features alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -147,13 +149,15 @@ def find_candidates(docs: DataFrame) -> DataFrame:
             base, more = [], []
             for text in b.column(1).to_pylist():
                 spans = base_spans(text)
-                taken, own = [(s, e) for s, _, e in spans], []
+                starts, own = sorted(s for s, _, _ in spans), []
+                reach = list(accumulate((e for _, _, e in sorted(spans)), max))  # furthest end of the spans up to each start
                 for m in _CANDIDATE.finditer(text) if _DIGIT.search(text) else ():
                     s, e = m.start(), m.end()
                     while e > s and text[e - 1] in ".-/=+":
                         e -= 1
                     token = text[s:e]
-                    if any(s < b_ and a < e for a, b_ in taken) or not any(c.isdigit() for c in token):
+                    k = bisect_left(starts, e)
+                    if (k and reach[k - 1] > s) or not any(c.isdigit() for c in token):
                         continue
                     before = text[max(0, s - 40):s]
                     votes = 0

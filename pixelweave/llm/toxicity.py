@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,18 +51,35 @@ def _fold(ch: str) -> int:
     return ord(base) - 96 if "a" <= base <= "z" else 0
 
 
-FOLD = np.array([_fold(chr(c)) for c in range(0x250)], np.int64)
+FOLD = np.array([*(_fold(chr(c)) for c in range(0x250)), 0], np.uint16)
+STRETCH = 1 << 19  # characters counted at a time
+
+
+def _stretches(batches) -> Iterator[str]:
+    """All texts of the batches, two blanks between them, in pieces of some STRETCH characters."""
+    for b in batches:
+        held, size = [], 0
+        for t in b.column(0):
+            text = t.as_py() + "  "
+            held.append(text)
+            size += len(text)
+            if size >= STRETCH:
+                whole = "".join(held)
+                yield from (whole[k:k + STRETCH] for k in range(0, size, STRETCH))
+                held, size = [], 0
+        yield "".join(held)
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log P(third | first two) over 27 letter classes from all rows of `docs`, shape (27, 27, 27)."""
 
     def count(batches):
-        total = np.zeros(27 ** 3, np.int64)
-        for b in batches:
-            cps = np.frombuffer("  ".join(b.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
-            c = np.where(cps < 0x250, FOLD[np.minimum(cps, 0x24F)], 0)
+        total, rest = np.zeros(27 ** 3, np.int64), np.zeros(0, np.uint16)
+        for piece in _stretches(batches):
+            cps = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+            c = np.concatenate([rest, FOLD[np.minimum(cps, 0x250)]])
             total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27 ** 3) if len(c) > 2 else 0
+            rest = c[-2:]
         k = np.flatnonzero(total)
         yield {"gram": k, "n": total[k]}
 
@@ -160,7 +177,7 @@ class Parts:
 class Features:
     """Feature buckets of a text, remembered per token."""
 
-    def __init__(self, model: np.ndarray, limit: int = 400_000) -> None:
+    def __init__(self, model: np.ndarray, limit: int = 200_000) -> None:
         self.restore, self.limit, self.known = Restorer(model), limit, {}
 
     def readings(self, token: str) -> str:
@@ -209,6 +226,16 @@ class Features:
                     break
         return out
 
+    @classmethod
+    def shared(cls, model: np.ndarray, keep: set[int] | None = None) -> Features:
+        """One object for each worker process, character model and set of kept buckets, with what it remembers."""
+        name = hash((model.tobytes(), None if keep is None else frozenset(keep)))
+        if name not in _FEATURES:
+            while len(_FEATURES) > 1:
+                _FEATURES.pop(next(iter(_FEATURES)))
+            _FEATURES[name] = cls(model)
+        return _FEATURES[name]
+
     @staticmethod
     def of_words(text: str) -> tuple[int, ...]:
         return tuple({_bucket(p) for p in _pieces(text)})
@@ -234,6 +261,9 @@ class Features:
         return out
 
 
+_FEATURES: dict[int, Features] = {}
+
+
 @dataclass
 class ToxicityModel:
     characters: np.ndarray
@@ -242,7 +272,7 @@ class ToxicityModel:
     offset: float
     strings: frozenset[str] = frozenset()  # the words and beginnings of words behind the weights
 
-    def scores(self, features: Features, batch: list[str]) -> list[float]:
+    def scores(self, features: Features, batch: Iterable[str]) -> list[float]:
         keep, parts = self.keep, self.parts
         return [self.score(sum(map(self.weights.__getitem__, features(t, keep, parts)))) for t in batch]
 
@@ -275,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     rows = training_rows(docs, labels, max_train).select("text", "toxic")
 
     def count(batches):
-        features = Features(characters)
+        features = Features.shared(characters)
         toxic, every = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -310,7 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     model.strings = frozenset(r.string for r in spelled)
 
     def tally(batches):
-        features, keep, parts = Features(characters), model.keep, model.parts
+        keep, parts = model.keep, model.parts
+        features = Features.shared(characters, keep)
         found: dict[tuple[float, int], int] = {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -347,9 +378,9 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        features = Features(m.characters)
+        features = Features.shared(m.characters, m.keep)
         for b in batches:
-            yield {"doc_id": b.column(0), "score": m.scores(features, b.column(1).to_pylist())}
+            yield {"doc_id": b.column(0), "score": m.scores(features, (t.as_py() for t in b.column(1)))}
 
     return map_rows(texts(docs), run, "doc_id long, score double")
 
@@ -360,9 +391,9 @@ def score_column(docs: DataFrame, model: ToxicityModel, name: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = Features(shared.value.characters)
+        features = Features.shared(shared.value.characters, shared.value.keep)
         for t in parts:
-            yield pd.Series(shared.value.scores(features, t.tolist()), dtype="float64")
+            yield pd.Series(shared.value.scores(features, t), dtype="float64")
 
     return docs.withColumn(name, score(F.coalesce("text", F.lit(""))))
 

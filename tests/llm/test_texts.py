@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,3 +428,54 @@ def test_pipeline_stages(spark, edge, sf_dir, doc_rows):
     got = p.run(spark, sf_dir).collect()
     assert 0 < len(got) < len(doc_rows)
     assert all(len(r.ids) == r.n_tokens for r in got)
+
+
+def test_long_lists_of_findings(spark):
+    """100,000 places in one text: every step is linear in the text."""
+    n = 100_000
+    both = "cc by " * n + "mail a.b@c.de key9x " * (n // 5)
+    df = spark.createDataFrame([(1, both)], "doc_id long, text string")
+    start = time.time()
+    got = licenses.license_scan(df).first()
+    assert got.n_base == n and (got.first_word, got.last_word) == (0, 2 * n - 2)
+    spans = pii.pii_spans(df).first()
+    assert len(spans.base) == n // 5 and len(spans.spans) >= n // 5
+    assert time.time() - start < 120
+
+
+def test_character_model_of_pieces(spark, monkeypatch):
+    texts_ = ["Abra cadabra é1", "", "x" * 50, "the same"] * 7
+    df = spark.createDataFrame([(t,) for t in texts_], "text string").coalesce(1)
+    whole = toxicity.character_model(df)
+    pieces = list(toxicity._stretches([pa.record_batch([pa.array(texts_)], names=["text"])]))
+    assert "".join(pieces) == "".join(t + "  " for t in texts_)
+    monkeypatch.setattr(toxicity, "STRETCH", 5)
+    pieces = list(toxicity._stretches([pa.record_batch([pa.array(texts_)], names=["text"])]))
+    assert "".join(pieces) == "".join(t + "  " for t in texts_) and max(map(len, pieces)) <= 55
+    assert whole.shape == (27, 27, 27) and np.allclose(np.exp(whole).sum(2), 1)
+
+
+def test_bpe_portions(spark, monkeypatch):
+    enc = bpe.encoder(bpe.default_vocabulary())
+    batch = pa.record_batch([pa.array([1, 2, None, 3]), pa.array(["one two", "", "three", "four five six"])], names=["doc_id", "text"])
+    whole = list(bpe._portions(enc, batch, False, True))
+    monkeypatch.setattr(bpe, "PORTION", 1)
+    parts = list(bpe._portions(enc, batch, False, False))
+    assert len(whole) == 1 and len(parts) > 1
+    assert sum((p["ids"].to_pylist() for p in parts), []) == whole[0]["ids"].to_pylist()
+    assert [x for p in parts for x in p["doc_id"]] == [1, 2, None, 3] and all(x is None for p in parts for x in p["decoded"])
+    assert whole[0]["decoded"] == ["one two", "", "three", "four five six"]
+
+
+def test_index_by_length_finds_what_a_scan_finds(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(words, int(rng.integers(3, 14))))) for k in range(60)]
+    ix = decontamination.Index(items)
+    prints = np.concatenate([ix.prints, ix.prints ^ np.uint16(5), rng.integers(0, 1 << 16, (40, 8)).astype(np.uint16)])
+    apart = np.bitwise_count(prints[:, None] ^ ix.prints[None]).sum(2)
+    for n in ix.lengths:
+        want = {(i, j) for i, j in zip(*np.nonzero(apart <= decontamination.RADIUS)) if ix.words[j] == n}
+        assert set(ix.within(prints, n)) == want
+    want = {(i, j) for i, j in zip(*np.nonzero(apart <= decontamination.RADIUS)) if ix.words[j] > 7}
+    assert set(ix.longer(prints, 7, 5)) == want

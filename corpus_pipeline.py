@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every document left."""
-    return bpe_encode(docs).select("doc_id", "n_tokens", "ids")
+    return bpe_encode(docs, decode=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.arrays import one_hot
 from ..functions.kernels import disk
-from ..operators import areas, distance, flood, flows, instances, morphology
+from ..operators import areas, distance, flood, flows, forest, instances, morphology
 from ..streaming import running
 from . import segment
 from .masks import CONT, RINGS, _rings, dilate_sql, raw
@@ -57,6 +57,7 @@ def _flood_parts(s, d):
 
 
 add("flood", lambda s, d: flood.flood(*_flood_parts(s, d)).groupBy("image_id", "inst_id").agg(F.count(F.lit(1)).alias("n")))
+add("flood_forest", lambda s, d: forest.flood_forest(*_flood_parts(s, d)).groupBy("image_id", "inst_id").agg(F.count(F.lit(1)).alias("n")))
 add("follow_flows", lambda s, d: line_sums(flows.follow_flows(
         instances.hover_maps(fx.pred_pixels(s, d)).withColumnRenamed("xmap", "fx").withColumnRenamed("ymap", "fy"), H, W, 200), ["py", "px"]))
 add("sink_masks", lambda s, d: flows.sink_masks(flows.follow_flows(

@@ -14,7 +14,7 @@ from ..operators.areas import fill_holes, remove_area_debris
 from ..operators.components import label
 from ..operators.distance import distance_map
 from ..operators.filters import filter2d, local_mean
-from ..operators.flood import flood
+from ..operators.forest import flood_forest
 from ..operators.flows import follow_flows, sink_masks
 from ..operators.instances import fill_and_remove_small, fill_object_holes, remap_label, remove_debris
 from ..operators.morphology import morph, open_pixels
@@ -40,7 +40,10 @@ def segment_dcan(grid: DataFrame, height: int, width: int, eps: float = CLAMP_EP
 
 
 def segment_dran(grid: DataFrame, height: int, width: int, eps: float = CLAMP_EPS, keys=("image_id",)) -> DataFrame:
-    """Body minus dilated contour gives markers; the body is flooded on the negative distance inside the markers."""
+    """Body minus dilated contour gives markers; the body is flooded on the negative distance inside the markers.
+
+    Outside the markers that is one plateau, on which pixels are taken by growing distance to the nearest marker.
+    """
     keys = list(keys)
     at = [*keys, "y", "x"]
     g = stage(percentile_normalize_and_clamp(grid.select(*at, "prob", "contour"), 0, 1, eps, keys, ("contour",)))
@@ -51,9 +54,10 @@ def segment_dran(grid: DataFrame, height: int, width: int, eps: float = CLAMP_EP
     void = g.select(*at).join(markers, at, "left").withColumn("_void", F.col("marker").isNull())
     dist = distance_map(void.select(*at, "_void"), "_void", keys)
     top = dist.groupBy(*keys).agg(F.max("distance").alias("_top"))
-    elev = (body.join(dist, at).join(top, keys)
-            .select(*at, (-255.0 * (F.coalesce("distance", F.lit(0.0)) / (F.coalesce("_top", F.lit(0.0)) + 1e-7))).alias("elevation")))
-    return flood(elev, markers, keys)
+    near = distance_map(void.select(*at, (~F.col("_void")).alias("_in")), "_in", keys).select(*at, F.coalesce("distance", F.lit(0.0)).alias("tie"))
+    elev = (body.join(dist, at).join(top, keys).join(near, at)
+            .select(*at, "tie", (-255.0 * (F.coalesce("distance", F.lit(0.0)) / (F.coalesce("_top", F.lit(0.0)) + 1e-7))).alias("elevation")))
+    return flood_forest(elev, markers, keys)
 
 
 def _unit(df: DataFrame, keys, columns) -> DataFrame:
@@ -82,7 +86,7 @@ def segment_hover(grid: DataFrame, height: int, width: int, eps: float = CLAMP_E
     seeds = open_pixels(fill_object_holes(seeds, keys), height, width, 1, keys)
     markers = label(seeds, keys, out="marker", min_size=10)
     body = s.filter("fg = 1").select(*at, (-F.col("blur")).alias("elevation"))
-    return remap_label(stage(remove_debris(flood(body, markers, keys), 18, keys)), keys)
+    return remap_label(stage(remove_debris(flood_forest(body, markers, keys), 18, keys)), keys)
 
 
 def segment_flows(grid: DataFrame, height: int, width: int, niter: int = 3000, keys=("image_id",)) -> DataFrame:

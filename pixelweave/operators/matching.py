@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,49 +35,72 @@ def settle(edges: DataFrame, keys) -> DataFrame:
             .select(*keys, "t", "p"))
 
 
-def _assign(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-weight assignment of a small matrix by shortest augmenting paths with potentials."""
-    flip = weight.shape[0] > weight.shape[1]
-    cost = -(weight.T if flip else weight)
-    n, m = cost.shape
-    u, v = np.zeros(n), np.zeros(m)
-    row_of = np.full(m, -1)
-    for start in range(n):
-        dist = np.full(m, np.inf)
-        prev = np.full(m, -1)
-        done = np.zeros(m, bool)
-        row, col, low = start, -1, 0.0
+SCALE = 2.0 ** 80  # a weight of 2^-28 or more times this is a whole number, so that prices are exact
+
+
+def assign(edges: Iterable[tuple[int, int, int]], n_left: int, n_right: int) -> tuple[list[int], list[int], list[int]]:
+    """Maximum-weight matching of a sparse bipartite graph with whole-number weights > 0.
+
+    Returns the right partner of every left node (-1: none) and prices u, v of the nodes. All prices are >= 0, u + v >= weight on
+    every edge, equal on matched ones, and 0 at free nodes; so the sum of the prices is the sum of the matched weights, which
+    proves it the largest. Left nodes enter one by one: a shortest path search over the slacks, no wider than the newcomer's
+    price, ends at a free right node or at a left node that gives way.
+    """
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n_left)]
+    for a, b, w in edges:
+        near[a].append((b, w))
+    right, left = [-1] * n_left, [-1] * n_right
+    u, v = [0] * n_left, [0] * n_right
+    for start in range(n_left):
+        u[start] = max((w - v[b] for b, w in near[start]), default=0)
+        if u[start] <= 0:
+            u[start] = 0
+            continue
+        reached_left, reached_right, came = {start: 0}, {}, {}
+        best, give, free = u[start], start, -1
+        heap, node, base = [], start, 0
         while True:
-            cand = low + cost[row] - u[row] - v
-            better = ~done & (cand < dist)
-            dist[better], prev[better] = cand[better], col
-            col = int(np.argmin(np.where(done, np.inf, dist)))
-            low = dist[col]
-            done[col] = True
-            if row_of[col] < 0:
+            for b, w in near[node]:
+                d = base + u[node] + v[b] - w
+                if b not in reached_right and d < best and d < came.get(b, (best,))[0]:
+                    came[b] = (d, node)
+                    heappush(heap, (d, b))
+            while heap and heap[0][1] in reached_right:
+                heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            base, b = heappop(heap)
+            reached_right[b] = base
+            if left[b] < 0:
+                best, give, free = base, -1, b
+                break
+            node = left[b]
+            reached_left[node] = base
+            if base + u[node] < best:
+                best, give = base + u[node], node
+        for a, d in reached_left.items():
+            u[a] -= best - min(d, best)
+        for b, d in reached_right.items():
+            v[b] += best - min(d, best)
+        b = free if give < 0 else right[give]
+        if give >= 0:
+            right[give] = -1
+        while b >= 0 and give != start:
+            a = came[b][1]
+            b_next, right[a], left[b] = right[a], b, a
+            if a == start:
                 break
-            row = row_of[col]
-        u[start] += low
-        for c in np.flatnonzero(done):
-            if c != col:
-                u[row_of[c]] += low - dist[c]
-            v[c] -= low - dist[c]
-        while col >= 0:
-            before = prev[col]
-            row_of[col] = start if before < 0 else row_of[before]
-            col = before
-    pairs = [(int(r), c) for c, r in enumerate(row_of) if r >= 0]
-    return [(c, r) for r, c in pairs] if flip else pairs
+            b = b_next
+    return right, u, v
 
 
 def _assign_component(pdf: pd.DataFrame) -> pd.DataFrame:
     t, ti = np.unique(pdf["t"].to_numpy(), return_inverse=True)
     p, pi = np.unique(pdf["p"].to_numpy(), return_inverse=True)
-    w = np.zeros((len(t), len(p)))
-    row = np.zeros((len(t), len(p)), int)
-    w[ti, pi], row[ti, pi] = pdf["w"].to_numpy(), np.arange(len(pdf))
-    keep = [row[a, b] for a, b in _assign(w) if w[a, b] > 0]
-    return pdf.iloc[sorted(keep)].drop(columns=["w", "root"])
+    weight = [int(w) for w in pdf["w"].to_numpy(float) * SCALE]
+    partner, _, _ = assign(zip(ti.tolist(), pi.tolist(), weight, strict=True), len(t), len(p))
+    keep = np.array(partner)[ti] == pi
+    return pdf[keep].drop(columns=["w", "root"])
 
 
 def best_assignment(edges: DataFrame, keys=("image_id",)) -> DataFrame:

@@ -1,11 +1,12 @@
 import itertools
 
 import numpy as np
+import pytest
 from helpers import blobs
 from pyspark.sql import functions as F
 
-from pixelweave.operators import metrics
-from pixelweave.operators.matching import _assign
+from pixelweave.operators import matching, metrics
+from pixelweave.operators.matching import assign
 from pixelweave.plans import benchmark
 
 
@@ -57,15 +58,53 @@ def cases():
     return out
 
 
+def matched(w):
+    """Pairs of a dense matrix of whole numbers by the sparse solver, with its proof checked."""
+    edges = [(i, j, int(w[i, j])) for i, j in zip(*np.nonzero(w))]
+    partner, u, v = assign(edges, *w.shape)
+    total = sum(int(w[i, j]) for i, j in enumerate(partner) if j >= 0)
+    assert total == sum(u) + sum(v) and min([*u, *v], default=0) >= 0 and all(u[i] + v[j] >= x for i, j, x in edges)
+    assert len({j for j in partner if j >= 0}) == sum(j >= 0 for j in partner)
+    return total
+
+
 def test_assign_matches_exhaustive_search():
     rng = np.random.default_rng(12)
-    for _ in range(60):
-        w = np.round(rng.random(rng.integers(1, 6, 2)) * (rng.random() < 0.8), 2)
-        got = sum(w[a, b] for a, b in _assign(w))
+    for _ in range(200):
+        w = (rng.random(rng.integers(1, 6, 2)) * 50).astype(int) * (rng.random() < 0.8)
         small, large = sorted(w.shape)
         m = w if w.shape[0] <= w.shape[1] else w.T
-        want = max(sum(m[i, c[i]] for i in range(small)) for c in itertools.permutations(range(large), small))
-        assert abs(got - want) < 1e-9
+        assert matched(w) == max(sum(m[i, c[i]] for i in range(small)) for c in itertools.permutations(range(large), small))
+    for _ in range(20):  # larger ones: the dual prices are the proof
+        w = rng.integers(0, 9, (40, 35)) * (rng.random((40, 35)) < 0.15)
+        matched(w)
+
+
+def chain(weights):
+    """Largest total of edges of a path of which no two are neighbours."""
+    take, skip = 0, 0
+    for w in weights:
+        take, skip = skip + w, max(skip, take)
+    return max(take, skip)
+
+
+@pytest.mark.parametrize("top", [3, 10 ** 9])
+def test_chain_of_overlaps_ends(top):
+    weights = np.random.default_rng(13).integers(1, top, 100_000).tolist()
+    edges = [((k + 1) // 2, k // 2, w) for k, w in enumerate(weights)]
+    partner, u, v = assign(edges, 50_001, 50_000)
+    by = {(a, b): w for a, b, w in edges}
+    assert sum(by[a, b] for a, b in enumerate(partner) if b >= 0) == sum(u) + sum(v) == chain(weights)
+
+
+def test_best_assignment_of_a_chain(spark):
+    weights = [1 + (7 * k) % 11 for k in range(3000)]
+    rows = [(0, (k + 1) // 2, k // 2, w / 12) for k, w in enumerate(weights)] + [(1, 5, 5, 0.5), (1, 6, 6, 0.0)]
+    got = matching.best_assignment(spark.createDataFrame(rows, "image_id int, t int, p int, w double")).collect()
+    by = {(i, a, b): w for i, a, b, w in rows}
+    assert len({(r.image_id, r.t) for r in got}) == len({(r.image_id, r.p) for r in got}) == len(got)
+    assert abs(sum(by[0, r.t, r.p] for r in got if r.image_id == 0) - chain(weights) / 12) < 1e-9
+    assert [(r.t, r.p) for r in got if r.image_id == 1] == [(5, 5)]
 
 
 def test_aji_plus_against_exhaustive_matching(spark):

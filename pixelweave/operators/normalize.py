@@ -6,65 +6,96 @@ one window nor in one task, and adaptive execution broadcasts the small side aft
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import prefix_total
-
 # Guards of the published normalizations.
 PERCENTILE_EPS = 1e-7
 CLAMP_EPS = 1e-7
-BUCKETS = 1024
+ACCURACY = 10000  # of the quantile sketches: their ranks are off by n / ACCURACY at most
 
 
-def order_values(df: DataFrame, keys, column: str, ranks: dict[str, Column]) -> DataFrame:
-    """Exact order statistics per key: `ranks` maps a name to a zero-based rank, an expression over `n` (rows per key).
+def order_values(df: DataFrame, keys, column: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+    """(keys, n, least, largest, names): exact order statistics per key, nulls left out.
 
-    Equal values are counted first; the counts are then summed up inside value ranges and shifted by the ranges before
-    them. No key is sorted or collected as a whole.
+    `ranks` maps a name to (q, rank): the zero-based rank, an expression over `n` (rows per key), lies within one of q * (n - 1).
+    One scan builds a mergeable quantile sketch per key, whose error is at most n / ACCURACY ranks; it brackets each q by
+    twice that. One more scan counts what lies below the brackets, remembers the values next to them, and counts the distinct values
+    inside: at most 4 n / ACCURACY rows of other values for each q, whatever the distribution. Only these are summed up
+    in order. A rank outside its bracket is an error, never a wrong value.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, F.col(column).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("n"))
-    b = counts.join(span, keys)
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS)).otherwise(F.lit(0))
-    r = prefix_total(b, keys, "_x", bucket, F.col("_n"), "_before")
-    pick = [F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_x"))).alias(name) for name, k in ranks.items()]
-    return r.groupBy(*keys).agg(F.max("n").alias("n"), *pick)
+    qs = sorted({q for q, _ in ranks.values()})
+    slack = 2.0 / ACCURACY
+    ends = [e for q in qs for e in (max(q - slack, 0.0), min(q + slack, 1.0))]
+    rows = df.select(*keys, F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("least"), F.max("_x").alias("largest"),
+                                     F.percentile_approx("_x", ends, ACCURACY).alias("_e"))
+    x, lo, hi = F.col("_x"), lambda i: F.col("_e")[2 * i], lambda i: F.col("_e")[2 * i + 1]
+    inside = [x.between(lo(i), hi(i)) for i in range(len(qs))]
+    some = inside[0]
+    for c in inside[1:]:
+        some = some | c
+    counted = (rows.join(sketch.select(*keys, "_e"), keys).withColumn("_v", F.when(some, x))
+               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"),
+                                         *[F.count(F.when(x < lo(i), 1)).alias(f"_below{i}") for i in range(len(qs))],
+                                         *[F.max(F.when(x < lo(i), x)).alias(f"_prev{i}") for i in range(len(qs))],
+                                         *[F.min(F.when(x > hi(i), x)).alias(f"_next{i}") for i in range(len(qs))]))
+    at = counted.join(sketch, keys)
+    order = Window.partitionBy(*keys).orderBy("_v")
+    whole = Window.partitionBy(*keys)
+    at = at.select("*", *[F.sum(F.when(inside_v, F.col("_n")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_seen{i}")
+                          for i, inside_v in enumerate(F.col("_v").between(lo(i), hi(i)) for i in range(len(qs)))],
+                   *[F.sum(f"_below{i}").over(whole).alias(f"_first{i}") for i in range(len(qs))])
+    picks = []
+    for name, (q, rank) in ranks.items():
+        i = qs.index(q)
+        start = F.col(f"_first{i}") + F.coalesce(F.col(f"_seen{i}"), F.lit(0))
+        hit = F.col("_v").between(lo(i), hi(i)) & (start <= rank) & (rank < start + F.col("_n"))
+        past = F.max(F.when(F.col("_v").between(lo(i), hi(i)), start + F.col("_n")))
+        picks += [F.max(F.when(hit, F.col("_v"))).alias(f"_hit_{name}"), F.max(f"_prev{i}").alias(f"_prev_{name}"), F.min(f"_next{i}").alias(f"_next_{name}"),
+                  F.max(rank).alias(f"_rank_{name}"), F.max(f"_first{i}").alias(f"_first_{name}"), past.alias(f"_past_{name}")]
+    found = at.groupBy(*keys, "n", "least", "largest").agg(*picks)
+    wrong = F.raise_error(F.lit("an order statistic lies outside the bracket of its sketch")).cast("double")
+    value = lambda name: (F.when(F.col(f"_hit_{name}").isNotNull(), F.col(f"_hit_{name}"))
+                          .when(F.col(f"_rank_{name}") == F.col(f"_first_{name}") - 1, F.col(f"_prev_{name}"))
+                          .when(F.col(f"_rank_{name}") == F.col(f"_past_{name}"), F.col(f"_next_{name}")).otherwise(wrong))
+    return found.select(*keys, "n", "least", "largest", *[value(name).alias(name) for name in ranks])
 
 
 def percentiles(df: DataFrame, keys, column: str, qs: dict[str, float]) -> DataFrame:
-    """Exact percentiles (q in 0..1) with linear interpolation between neighbouring order statistics."""
+    """(keys, varies, names): exact percentiles (q in 0..1) with linear interpolation between neighbouring order statistics;
+    `varies` says whether there is more than one value."""
     ranks = {}
     for name, q in qs.items():
         k = F.floor((F.col("n") - 1) * F.lit(q))
-        ranks[f"_{name}_a"], ranks[f"_{name}_b"] = k, F.least(k + 1, F.col("n") - 1)
+        ranks[f"_{name}_a"], ranks[f"_{name}_b"] = (q, k), (q, F.least(k + 1, F.col("n") - 1))
     s = order_values(df, keys, column, ranks)
     outs = []
     for name, q in qs.items():
         h = (F.col("n") - 1) * F.lit(q)
         outs.append((F.col(f"_{name}_a") + (F.col(f"_{name}_b") - F.col(f"_{name}_a")) * (h - F.floor(h))).alias(name))
-    return s.select(*keys, *outs)
+    return s.select(*keys, (F.col("least") < F.col("largest")).alias("varies"), *outs)
 
 
 def percentile_nearest(df: DataFrame, q: float, keys=("image_id", "channel"), column: str = "v", out: str = "value") -> DataFrame:
     """The k-th smallest value with k = 1 + round(q / 100 * (n - 1)), halves to even, no interpolation."""
     rank = F.bround(F.lit(0.01 * q) * (F.col("n") - 1)).cast("long")
-    return order_values(df, keys, column, {out: rank}).select(*keys, out)
+    return order_values(df, keys, column, {out: (0.01 * q, rank)}).select(*keys, out)
 
 
 def _image(keys) -> list[str]:
     return [k for k in keys if k != "channel"]
 
 
-def _varies(df: DataFrame, keys, column: str) -> DataFrame:
+def _varies(per: DataFrame, keys) -> DataFrame:
     """Per image: whether every channel has more than one value. Otherwise the image is left as it is."""
-    per = df.groupBy(*keys).agg((F.max(column) > F.min(column)).alias("_v"))
-    return per.groupBy(*_image(keys)).agg(F.min("_v").alias("_varies"))
+    return per.groupBy(*_image(keys)).agg(F.min("varies").alias("_varies"))
 
 
 def percentile_normalize(df: DataFrame, keys=("image_id", "channel"), column: str = "v", eps: float = PERCENTILE_EPS) -> DataFrame:
-    p = percentiles(df, keys, column, {"_p1": 0.01, "_p99": 0.99}).join(_varies(df, keys, column), _image(keys))
+    per = percentiles(df, keys, column, {"_p1": 0.01, "_p99": 0.99})
+    p = per.drop("varies").join(_varies(per, keys), _image(keys))
     v = F.col(column).cast("double")
     return (df.join(p, list(keys)).withColumn(column, F.when(F.col("_varies"), (v - F.col("_p1")) / (F.col("_p99") - F.col("_p1") + eps)).otherwise(v))
             .drop("_p1", "_p99", "_varies"))
@@ -75,7 +106,7 @@ def percentile_normalize_and_clamp(df: DataFrame, lo: float = -1.0, hi: float =
     """clip(v / (max(p99, p1) + eps), lo, hi) for each column."""
     out = df
     for c in columns:
-        p = percentiles(df, keys, c, {"_p1": 0.01, "_p99": 0.99})
+        p = percentiles(df, keys, c, {"_p1": 0.01, "_p99": 0.99}).drop("varies")
         scaled = F.col(c).cast("double") / (F.greatest("_p99", "_p1") + eps)
         out = out.join(p, list(keys)).withColumn(c, F.greatest(F.least(scaled, F.lit(float(hi))), F.lit(float(lo)))).drop("_p1", "_p99")
     return out
@@ -84,7 +115,7 @@ def percentile_normalize_and_clamp(df: DataFrame, lo: float = -1.0, hi: float =
 def percentile_normalize_nearest(df: DataFrame, keys=("image_id", "channel"), column: str = "v") -> DataFrame:
     """(v - p1) / (p99 - p1) with nearest percentiles; null where the two are equal."""
     n1 = F.col("n") - 1
-    p = order_values(df, keys, column, {"_p1": F.bround(F.lit(0.01) * n1).cast("long"), "_p99": F.bround(F.lit(0.99) * n1).cast("long")})
+    p = order_values(df, keys, column, {"_p1": (0.01, F.bround(F.lit(0.01) * n1).cast("long")), "_p99": (0.99, F.bround(F.lit(0.99) * n1).cast("long"))}).drop("least", "largest")
     return (df.join(p, list(keys)).withColumn(column, F.try_divide(F.col(column) - F.col("_p1"), F.col("_p99") - F.col("_p1")))
             .drop("_p1", "_p99", "n"))
 

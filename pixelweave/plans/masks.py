@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.kernels import disk, ellipse
-from ..operators import components, instances, morphology
+from ..operators import components, instances, morphology, spans
 from .sqlkit import Catalog, components_sql, rounded, sql
 
 H = W = fx.SIDE
@@ -54,6 +54,11 @@ COMP_ID = dict(c=raw(components_sql("c", "pred", value="inst_id")))
 
 add("label", lambda s, d: components.label(fx.pred_pixels(s, d)),
     sql(f"SELECT image_id, y, x, {RANK} AS label FROM c", **COMP))
+add("label_spans", lambda s, d: spans.to_pixels(spans.label_spans(spans.to_spans(fx.pred_pixels(s, d), ["image_id"])), ["image_id", "label"]),
+    sql(f"SELECT image_id, y, x, {RANK} AS label FROM c", **COMP))
+add("instance_spans", lambda s, d: spans.to_spans(fx.pred_pixels(s, d)),
+    sql("""SELECT image_id, inst_id, y, CAST(min(x) AS INTEGER) AS x0, CAST(max(x) AS INTEGER) AS x1 FROM (
+           SELECT image_id, inst_id, y, x, x - row_number() OVER (PARTITION BY image_id, inst_id, y ORDER BY x) AS r FROM pred) q GROUP BY image_id, inst_id, y, r"""))
 add("label_diagonal", lambda s, d: components.label(fx.pred_pixels(s, d), connectivity=2),
     sql(f"SELECT image_id, y, x, {RANK} AS label FROM c", c=raw(components_sql("c", "pred", diagonal=True))))
 # blocks smaller than the images, so that components cross block borders

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import disk
 from ..operators import annotations as an
 from ..operators.instances import label_sem_map
-from ..operators.morphology import morph
+from ..operators.morphology import close_with_disk
 from ..operators.raster import outline, rasterize, touching_groups
 
 # Fixed value: radius by which merged polygons are grown and shrunk to smooth them.
@@ -62,9 +61,7 @@ def union_pixels(pairs: DataFrame) -> DataFrame:
 def smoothed_rings(pixels: DataFrame, keys, radius: int = SMOOTH) -> DataFrame:
     """Outline of each pixel set after closing it with a disk, the raster form of growing and shrinking a polygon."""
     moved = pixels.withColumn("y", F.col("y") + radius).withColumn("x", F.col("x") + radius)
-    el = disk(radius)
-    closed = morph(morph(moved, "dilate", el, PLANE, PLANE, keys), "erode", el, PLANE, PLANE, keys)
-    return outline(closed, keys, -radius, -radius)
+    return outline(close_with_disk(moved, radius, PLANE, PLANE, keys), keys, -radius, -radius)
 
 
 def merge_split_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, radius: int = SMOOTH) -> DataFrame:

@@ -148,7 +148,7 @@ def _chan(s, d):
 PCT = dict(pc="SELECT image_id, channel, quantile_cont(CAST(v AS DOUBLE), 0.01) AS p1, quantile_cont(CAST(v AS DOUBLE), 0.99) AS p99 FROM chan GROUP BY image_id, channel")
 add("percentile_normalize", lambda s, d: _chan_sums(normalize.percentile_normalize(_chan(s, d))),
     _chan_sql("(v - p1) / (p99 - p1 + CAST(1e-7 AS DOUBLE)) AS v FROM chan JOIN pc USING (image_id, channel)", **PCT))
-add("percentiles", lambda s, d: rounded(normalize.percentiles(fx.image_pixels(s, d), ["image_id"], "prob", {"p1": 0.01, "p37": 0.37, "p99": 0.99})),
+add("percentiles", lambda s, d: rounded(normalize.percentiles(fx.image_pixels(s, d), ["image_id"], "prob", {"p1": 0.01, "p37": 0.37, "p99": 0.99}).drop("varies")),
     sql("SELECT image_id, round(quantile_cont(prob, 0.01), 6) AS p1, round(quantile_cont(prob, 0.37), 6) AS p37, round(quantile_cont(prob, 0.99), 6) AS p99 FROM image_pixels GROUP BY image_id"))
 CLAMP = "greatest(least(v / (greatest(p99, p1) + CAST({eps} AS DOUBLE)), 1), {lo}) AS v FROM chan JOIN pc USING (image_id, channel)"
 add("percentile_clamp", lambda s, d: _chan_sums(normalize.percentile_normalize_and_clamp(_chan(s, d), 0, 1, keys=("image_id", "channel"))),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import instances, metrics
+from ..operators import instances, metrics, spans
 from . import benchmark
 from .sqlkit import Catalog, rounded, sql
 
@@ -16,6 +16,10 @@ add = catalog.add
 add("overlaps", lambda s, d: metrics.overlaps(fx.pixels(s, d)),
     sql("SELECT image_id, t AS true_id, p AS pred_id, n AS inter FROM joint WHERE t > 0 AND p > 0"))
 
+add("overlaps_spans", lambda s, d: (spans.joint_counts_of_spans(spans.to_spans(fx.true_pixels(s, d)), spans.to_spans(fx.pred_pixels(s, d)))
+                                   .filter("t > 0 AND p > 0").selectExpr("image_id", "t AS true_id", "p AS pred_id", "n AS inter")),
+    sql("SELECT image_id, t AS true_id, p AS pred_id, n AS inter FROM joint WHERE t > 0 AND p > 0"))
+
 add("pair_iou", lambda s, d: rounded(metrics.pair_iou(fx.pixels(s, d))),
     sql("SELECT image_id, t AS true_id, p AS pred_id, i AS inter, ta AS t_area, pa AS p_area, round(i / u, 6) AS iou FROM ov"))
 

@@ -109,7 +109,7 @@ add("merge_cells_keep_unmatched", lambda s, d: merge.merge_cells(fx.ring_annotat
     sql(CELLS + """ UNION ALL SELECT 'unmatched', name, feature_id, NULL, NULL, class_id FROM annotations a WHERE (xmin = tx OR ymin = ty OR xmax = tx + 64 OR ymax = ty + 64)
         AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.name = a.name AND pr.feature_id = a.feature_id) AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.adj_name = a.name AND pr.adj_feature_id = a.feature_id)""", **PAIRS))
 # outlines after smoothing; the traced points are checked in the tests
-add("merge_split_cells", lambda s, d: merge.merge_split_cells(fx.ring_annotations(s, d), TILE, radius=3))
+add("merge_split_cells", lambda s, d: merge.merge_split_cells(fx.ring_annotations(s, d), TILE))
 add("collect_tiles", lambda s, d: merge.collect_tiles(fx.annotations(s, d)).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("tiles")),
     sql("SELECT class_id, count(*) AS n, count(DISTINCT name) AS tiles FROM annotations GROUP BY class_id"))
 BOXPX = """SELECT {cols}, CAST(a.i AS INTEGER) + ymin AS y, CAST(b.i AS INTEGER) + xmin AS x FROM annotations
@@ -121,7 +121,7 @@ add("area_groups", lambda s, d: merge.area_groups(fx.ring_annotations(s, d)).sel
         "class_id", "name", "feature_id", (F.floor(F.col("root") / (1 << 32)) - 1).cast("int").alias("root_y"), (F.col("root") % (1 << 32) - 1).cast("int").alias("root_x")),
     sql("""SELECT class_id, name, feature_id, CAST(min(root) // 100000 - 1 AS INTEGER) AS root_y, CAST(min(root) % 100000 - 1 AS INTEGER) AS root_x FROM
         gp JOIN (SELECT class_id AS c2, y - 1 AS y2, x - 1 AS x2, root FROM ac) q ON c2 = class_id AND y2 = y AND x2 = x GROUP BY class_id, name, feature_id""", **AREAS))
-add("merge_areas", lambda s, d: merge.merge_areas(fx.ring_annotations(s, d), radius=2))
+add("merge_areas", lambda s, d: merge.merge_areas(fx.ring_annotations(s, d)))
 
 
 def _multi(s, d):

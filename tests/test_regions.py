@@ -221,3 +221,13 @@ def test_outside_never_erodes(spark):
     assert morphology.remove_1px_boundary(pixels(spark, [m]), 6, 6).count() == 36
     m[0, 0] = 0
     assert morphology.remove_1px_boundary(pixels(spark, [m]), 6, 6).count() == 33
+
+
+def test_lower_envelope_is_the_minimum():
+    rng = np.random.default_rng(31)
+    for n, m in ((1, 1), (40, 17), (97, 5)):
+        for some in (0.0, 0.05, 0.6, 1.0):
+            g = np.where(rng.random((n, m)) < some, rng.integers(0, 60, (n, m)) ** 2, np.inf).astype(float)
+            y = np.arange(n)
+            want = ((y[:, None] - y[None]) ** 2)[:, :, None] + g[None]
+            assert (distance.lower_envelope(g) == want.min(1)).all()

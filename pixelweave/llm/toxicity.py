@@ -102,11 +102,19 @@ class Restorer:
         m = model
         # by letters (y, c, z): whether the best path through y c c z drops a c; runs do not bear on each other
         self.drops = m[:, :, :] - np.diagonal(m, axis1=1, axis2=2)[:, :, None] - m[range(27), range(27)][None] + 2 * COST_BREAK > 0
+        self.shortened: dict[str, bool] = {}  # by the letters around: at most a few thousand
 
     def undoubles(self, token: str) -> bool:
         """Whether the best path of a token of letters shortens a doubled one."""
-        return any(self.drops[_fold(token[i - 1]) if i else 0, _fold(token[i]), _fold(token[j]) if j < len(token) else 0]
-                   for i, j in (m.span() for m in _DOUBLE.finditer(token)))
+        for m in _DOUBLE.finditer(token):
+            i, j = m.span()
+            around = (token[i - 1] if i else " ") + token[i] + (token[j] if j < len(token) else " ")
+            known = self.shortened.get(around)
+            if known is None:
+                known = self.shortened[around] = bool(self.drops[tuple(map(_fold, around))])
+            if known:
+                return True
+        return False
 
     def slots(self, token: str) -> list[list[tuple[str, float]]]:
         out: list[list[tuple[str, float]]] = []
@@ -170,6 +178,8 @@ class Parts:
 
     def __init__(self, strings: frozenset[str]) -> None:
         self.strings = strings
+        self.bucket = {w: _bucket(w) for w in strings}
+        self.heads = frozenset(w[:3] for w in strings)
         self.starts = frozenset(w[:k] for w in strings for k in range(1, len(w)))
         self.longest = max(map(len, strings), default=0)
 
@@ -177,7 +187,7 @@ class Parts:
 class Features:
     """Feature buckets of a text, remembered per token."""
 
-    def __init__(self, model: np.ndarray, limit: int = 200_000) -> None:
+    def __init__(self, model: np.ndarray, limit: int = 400_000) -> None:
         self.restore, self.limit, self.known = Restorer(model), limit, {}
 
     def readings(self, token: str) -> str:
@@ -219,17 +229,17 @@ class Features:
                 part = t.rstrip("!" + _AROUND)
                 joined, apart = joined + part, f"{apart} {part}"
                 if joined in parts.strings:
-                    out.update(self.of_words(self.restore(apart)))
+                    out.update(self.of_kept(self.restore(apart), parts))
                 elif not parts.strings.isdisjoint((joined[:4], joined[:5], joined[:6])):  # only the beginning is known: a blank rather ends a word
-                    out.update(self.of_words(self.restore(apart.replace(" ", "  "))))
+                    out.update(self.of_kept(self.restore(apart.replace(" ", "  ")), parts))
                 if part != t or joined not in parts.starts:
                     break
         return out
 
     @classmethod
-    def shared(cls, model: np.ndarray, keep: set[int] | None = None) -> Features:
-        """One object for each worker process, character model and set of kept buckets, with what it remembers."""
-        name = hash((model.tobytes(), None if keep is None else frozenset(keep)))
+    def shared(cls, model: np.ndarray, strings: frozenset[str] | None = None) -> Features:
+        """One object for each worker process, character model and set of kept features, with what it remembers."""
+        name = hash((model.tobytes(), strings))
         if name not in _FEATURES:
             while len(_FEATURES) > 1:
                 _FEATURES.pop(next(iter(_FEATURES)))
@@ -240,26 +250,47 @@ class Features:
     def of_words(text: str) -> tuple[int, ...]:
         return tuple({_bucket(p) for p in _pieces(text)})
 
-    def __call__(self, text: str, keep: set[int] | None = None, parts: Parts | None = None) -> set[int]:
-        """Buckets of the whole text, or of those in `keep`; with `parts` also of words split into tokens."""
+    def __call__(self, text: str) -> set[int]:
+        """Buckets of all features of a text."""
         known = self.known
         if len(known) > self.limit:
             known.clear()
         tokens = set(text.split())
         for t in tokens.difference(known):
-            own = self.of_words(self.readings(t))
-            known[t] = own if keep is None else tuple(keep.intersection(own))
+            known[t] = self.of_words(self.readings(t))
         out: set[int] = set()
         for own in filter(None, map(known.__getitem__, tokens)):
             out.update(own)
         for reading in self.spaced(text):
-            own = self.of_words(reading)
-            out.update(own if keep is None else keep.intersection(own))
-        if parts is not None:
-            own = self.of_parts(text, parts)
-            out.update(own if keep is None else keep.intersection(own))
+            out.update(self.of_words(reading))
         return out
 
+    def kept(self, text: str, parts: Parts) -> set[int]:
+        """Buckets of the kept features in a text. A token that holds neither signs nor doubled letters is read as it stands, and
+        no word without the first three letters of a kept feature is looked up."""
+        known, heads = self.known, parts.heads
+        if len(known) > self.limit:
+            known.clear()
+        tokens = set(text.split())
+        for t in tokens.difference(known):
+            bare = t.lower().strip(_AROUND)
+            if bare.isalpha() and not _DOUBLE.search(bare):
+                known[t] = self.of_kept(bare, parts) if bare[:3] in heads else ()
+            else:
+                known[t] = self.of_kept(self.readings(t), parts)
+        out: set[int] = set()
+        for own in filter(None, map(known.__getitem__, tokens)):
+            out.update(own)
+        for reading in self.spaced(text):
+            out.update(self.of_kept(reading, parts))
+        out.update(self.of_parts(text, parts))
+        return out
+
+    @staticmethod
+    def of_kept(text: str, parts: Parts) -> tuple[int, ...]:
+        words = [w for w in _WORD.findall(text) if w[:3] in parts.heads]
+        return tuple({parts.bucket[p] for w in words for p in (w, w[:4], w[:5], w[:6]) if p in parts.strings}) if words else ()
+
 
 _FEATURES: dict[int, Features] = {}
 
@@ -273,8 +304,8 @@ class ToxicityModel:
     strings: frozenset[str] = frozenset()  # the words and beginnings of words behind the weights
 
     def scores(self, features: Features, batch: Iterable[str]) -> list[float]:
-        keep, parts = self.keep, self.parts
-        return [self.score(sum(map(self.weights.__getitem__, features(t, keep, parts)))) for t in batch]
+        parts = self.parts
+        return [self.score(sum(map(self.weights.__getitem__, features.kept(t, parts)))) for t in batch]
 
     @property
     def parts(self) -> Parts:
@@ -340,12 +371,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     model.strings = frozenset(r.string for r in spelled)
 
     def tally(batches):
-        keep, parts = model.keep, model.parts
-        features = Features.shared(characters, keep)
+        parts = model.parts
+        features = Features.shared(characters, model.strings)
         found: dict[tuple[float, int], int] = {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = (round(min(sum(map(weights.__getitem__, features(t, keep, parts))), 60.0), 0), y)
+                key = (round(min(sum(map(weights.__getitem__, features.kept(t, parts))), 60.0), 0), y)
                 found[key] = found.get(key, 0) + 1
         yield {"total": [k[0] for k in found], "toxic": [k[1] for k in found], "n": list(found.values())}
 
@@ -378,7 +409,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        features = Features.shared(m.characters, m.keep)
+        features = Features.shared(m.characters, m.strings)
         for b in batches:
             yield {"doc_id": b.column(0), "score": m.scores(features, (t.as_py() for t in b.column(1)))}
 
@@ -391,7 +422,7 @@ def score_column(docs: DataFrame, model: ToxicityModel, name: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = Features.shared(shared.value.characters, shared.value.keep)
+        features = Features.shared(shared.value.characters, shared.value.strings)
         for t in parts:
             yield pd.Series(shared.value.scores(features, t), dtype="float64")
 

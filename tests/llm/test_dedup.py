@@ -105,6 +105,16 @@ def test_bytes(edge, edge_rows, bits, group):
     same(got, brute_bytes(edge_rows))
 
 
+def test_bytes_of_several_texts_under_one_id(spark):
+    rnd = random.Random(4)
+    u, v, w = ("".join(rnd.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(1, u), (2, u), (2, v), (2, v), (3, w + v[:80]), (3, v[100:200] + w), (3, ""), (4, w), (4, None), (None, u)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffixes.suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    same(got, brute_bytes(rows))
+    assert sorted(r.n_removed for r in got if r.doc_id == 2) == [0, 0, 400]
+
+
 def test_bytes_whole_table(docs, doc_rows):
     same(suffixes.suffix_dedup(docs, bits=24).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), brute_bytes(doc_rows))
 

@@ -178,21 +178,21 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     follows one of them; a pair that cannot reach the threshold by these bounds is not one to compare.
     """
     nodes = labelled.select("doc_id", "label").distinct()
-    e = sets.join(nodes, "doc_id").select("doc_id", "label", F.size("elements").alias("n"), F.explode("elements").alias("s"))
+    e = sets.join(nodes, "doc_id").select("doc_id", "label", F.size("elements").alias("n"), F.xxhash64("elements").alias("own"), F.explode("elements").alias("s"))
     df = e.groupBy("s").agg(F.count(F.lit(1)).alias("df"), (F.min("label") < F.max("label")).alias("mixed"))
-    ranked = e.join(df, "s").groupBy("doc_id", "label", "n").agg(
+    ranked = e.join(df, "s").groupBy("doc_id", "label", "n", "own").agg(
         F.sort_array(F.collect_list(F.struct("mixed", "df", "s"))).alias("all"), F.count_if("mixed").cast("int").alias("most"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = (ranked.select("doc_id", "label", "n", length.alias("len"), "most", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p"))
-              .filter("p.mixed").select("doc_id", "label", "n", "most", F.col("p.s").alias("s"), (F.col("n") - F.col("at")).alias("rest"), (F.col("n") - F.col("len")).alias("tail")))
-    x, y = (prefix.select("s", *(F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "most", "rest", "tail")), F.col("doc_id").alias(c)) for c in "ab")
+    prefix = (ranked.select("doc_id", "label", "n", "own", length.alias("len"), "most", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p"))
+              .filter("p.mixed").select("doc_id", "label", "n", "own", "most", F.col("p.s").alias("s"), (F.col("n") - F.col("at")).alias("rest"), (F.col("n") - F.col("len")).alias("tail")))
+    x, y = (prefix.select("s", *(F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "own", "most", "rest", "tail")), F.col("doc_id").alias(c)) for c in "ab")
     # before a common shingle the documents differ by what they do not share at least
     bound = "least(most_a, most_b, n_b - rest_b + rest_a, n_a - rest_a + rest_b)"
     near = f"a < b AND label_a <> label_b AND (100 + {percent}) * {bound} >= {percent} * (n_a + n_b)"
-    pairs = x.join(y, "s").filter(near).groupBy("a", "b").agg(
+    pairs = x.join(y, "s").filter(near).groupBy("a", "b", "own_a", "own_b").agg(
         F.count(F.lit(1)).alias("shared"), F.max(F.least("rest_a", "rest_b")).alias("rest"), F.first(F.greatest("tail_a", "tail_b")).alias("tail"),
         F.first(F.col("n_a") + F.col("n_b")).alias("sum"))
-    return pairs.filter(f"(100 + {percent}) * least(rest, shared + tail) >= {percent} * sum").select("a", "b")
+    return pairs.filter(f"(100 + {percent}) * least(rest, shared + tail) >= {percent} * sum").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -210,12 +210,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sk = stages.add(sketches(docs, size))
     known = sk.filter("doc_id IS NOT NULL AND n > 0")
     classes = stages.add(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
-    reps = stages.add(known.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").select("doc_id", "n", "regs").dropDuplicates(["doc_id", "n"]))
+    reps = stages.add(known.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id", "hi", "lo"]).select("doc_id", "n", "regs"))
     labelled = _shared_buckets(reps, stages)
     # rows of one doc_id with different texts are one node from the start
     same = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
     links = stages.add(known.join(classes, ["hi", "lo"]).join(same, "doc_id", "left_semi").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
-    sets = stages.add(_sets(docs, labelled.select("doc_id").distinct(), size))
+    sets = stages.add(_sets(docs, labelled.select("doc_id").distinct(), size).dropDuplicates(["doc_id", "elements"]))
     tested, roots = None, None
     for k in range(HUB_ROUNDS + 1):
         if k:

@@ -205,3 +205,22 @@ def test_filters_miss_no_repeat():
 
 def test_empty(nothing):
     assert lines.line_dedup(nothing).count() == suffixes.suffix_dedup(nothing, bits=10).count() == neardup.near_duplicates(nothing).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [2, 0])
+def test_near_of_several_texts_under_one_id(spark, monkeypatch, rounds):
+    """Two sets of equal size under one doc_id, and repeated rows; without hub rounds the prefix rule finds all links."""
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
+    rnd = random.Random(11)
+    base = [[f"w{rnd.randrange(10 ** 6)}" for _ in range(60)] for _ in range(3)]
+
+    def near(words, k):
+        out = list(words)
+        for _ in range(k):
+            out[rnd.randrange(len(out))] = f"x{rnd.randrange(10 ** 6)}"
+        return " ".join(out)
+
+    rows = [(1, " ".join(base[0])), (2, " ".join(base[1])), (9, near(base[0], 2)), (9, near(base[1], 2)), (5, near(base[2], 1)), (5, near(base[2], 1)), (6, " ".join(base[2])), (6, " ".join(base[2])),
+            (7, near(base[0], 9)), (8, near(base[0], 3)), (8, near(base[0], 4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(neardup.near_duplicates(df, 2, 80).collect(), brute_near(rows, 2, 80))

@@ -52,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("bpe", encode)]
 
-ORACLE_SQL = None  # a fitted model and byte-pair ids have no SQL form; tests compare the stages with brute force
+ORACLE_SQL = None  # a fitted model and byte-pair ids have no SQL form; tests compare each stage's operator with brute force by itself
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ similarity. Bands of registers give candidates; the joint likelihood of the coun
 estimates their similarity; what is not clearly below the threshold is confirmed on the full sets.
 
 Equal sets are one class from the start. In a band bucket members are compared with a hub, not with one another, and what
-the hub doesn't join with a second hub. For the buckets that still hold several components the rest is settled by the prefix
-rule: two sets of the wanted similarity share one of the rarest 20 % (for 0.8) of either, so only documents of different
-components with a common rare shingle are compared. Pairs inside one component need no look. Nothing is capped.
+the hub doesn't join with a second hub. For the buckets that still hold several components the rest is settled exactly:
+inside a family of copies by what each document changes of the family's base, between families by the prefix rule; only
+documents of different components that share a rare enough change or shingle are compared. Pairs inside one component
+need no look. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band with probability
 REGISTERS = BANDS * ROWS
 SIGMAS = 5.0
 HUB_ROUNDS = 2
+SHARED = 2  # buckets a document has in common with a hub of its family
+SALTED = 1000  # members of a family that share one copy of its base
 FILTER_BITS = 28  # 32 MB a filter at most; a fuller one only sends more rows to the exact joins
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -170,29 +173,79 @@ def _hub_pairs(labelled: DataFrame, k: int, percent: int) -> DataFrame:
     return labelled.join(hubs, "key").filter(near).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that can reach the threshold: sizes close enough and a shingle in both prefixes.
+def _families(labelled: DataFrame) -> DataFrame:
+    """(doc_id, label, family, members, salts): documents that share SHARED buckets with a hub of them, and so on, are one family.
+
+    Any partition gives right pairs; one that follows the groups of copies gives few of them. Families of one component hold no
+    pair to compare, but meet other families.
+    """
+    hubs = labelled.groupBy("key").agg(F.min("doc_id").alias("b"))
+    edges = (labelled.join(hubs, "key").filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
+             .filter(F.col("c") >= SHARED).select("a", "b"))
+    roots = graph_components(edges, keys=()).select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
+    nodes = labelled.select("doc_id", "label").distinct().join(roots, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
+    sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("members"), (F.min("label") < F.max("label")).alias("several"))
+    return nodes.join(sizes, "family").withColumn("salts", F.floor(F.col("members") / SALTED).cast("int") + 1)
+
+
+def _from_base(members: DataFrame) -> DataFrame:
+    """Members (family, ..., elements) with `x`: what the document has beyond its family's base set and what it lacks of it.
+
+    The base is what more than half of a family hold, so it has at most twice as many shingles as its documents have on average;
+    a large family takes it in several copies, a share of the documents each.
+    """
+    held = members.select("family", "members", F.explode("elements").alias("s")).groupBy("family", "members", "s").agg(F.count(F.lit(1)).alias("c"))
+    base = (held.filter("2 * c > members").groupBy("family", "members").agg(F.collect_list("s").alias("base"))
+            .select("family", "base", F.explode(F.sequence(F.lit(0), F.floor(F.col("members") / SALTED).cast("int"))).alias("salt")))
+    dealt = members.withColumn("salt", F.pmod(F.col("own"), F.col("salts")).cast("int")).join(base, ["family", "salt"], "left")
+    apart = F.concat(F.array_except("elements", "base"), F.array_except("base", "elements"))
+    return dealt.withColumn("x", F.coalesce(apart, F.col("elements"))).drop("base", "salt")
 
-    Shingles of one component only are of no use to any pair, so they stand first in the order. A pair's overlap is at most
-    what its documents have from their first common shingle on, and at most the shared part of the prefixes and what
-    follows one of them; a pair that cannot reach the threshold by these bounds is not one to compare.
+
+def _first_common(members: DataFrame, keys: list[str], differ: list[str], percent: int) -> DataFrame:
+    """(a, b) of members (doc_id, label, family, n, own, x, w) of equal `keys` that differ in the columns `differ`, whose sets x
+    may have a first common shingle that leaves the threshold in reach.
+
+    Shingles are ordered from the rarest on, those that no pair can share first. What stands before the first common one
+    differs, so both places together are at most the greatest difference; and from there on both have the needed overlap.
+    """
+    e = members.select("doc_id", "label", "family", "n", "own", "w", F.size("x").alias("size"), F.explode("x").alias("s"))
+    useful = F.lit(True)
+    for c in differ:
+        useful = useful & (F.min(c) < F.max(c))
+    df = e.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("df"), useful.alias("useful"))
+    ranked = e.join(df, [*keys, "s"]).groupBy("doc_id", "label", "family", "n", "own", "w", "size").agg(F.sort_array(F.collect_list(F.struct("useful", "df", "s"))).alias("all"))
+    # a partner has at most n * 100 / percent shingles
+    reach = F.floor((100 - percent) * (F.col("n") + F.col("n") * 100 / percent) / (100 + percent)).cast("int") + 1
+    prefix = (ranked.select("doc_id", "label", "family", "n", "own", "w", "size", F.posexplode(F.slice("all", F.lit(1), reach)).alias("at", "p"))
+              .filter("p.useful").select("doc_id", "label", "family", "n", "own", "w", "at", F.col("p.s").alias("s"), (F.col("size") - F.col("at")).alias("rest")))
+    own = [c for c in ("label", "family", "n", "own", "w", "at", "rest") if c not in keys]
+    x, y = (prefix.select("s", *keys, *(F.col(v).alias(f"{v}_{c}") for v in own), F.col("doc_id").alias(c)) for c in "ab")
+    near = " AND ".join(["a < b", *(f"{c}_a <> {c}_b" for c in differ), f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)", "w_a + w_b > 0",
+                         f"(100 + {percent}) * (at_a + at_b) <= (100 - {percent}) * (n_a + n_b)", f"2 * (100 + {percent}) * least(rest_a, rest_b) >= w_a + w_b"])
+    return x.join(y, [*keys, "s"]).filter(near).select("a", "b").distinct()
+
+
+def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that can reach the threshold.
+
+    Copies of one text with changes of their own share nearly all of it, so their common shingles tell nothing. Inside a
+    family a document is its difference x to the family's base instead, with the same differences between documents:
+    |a - b| + |b - a| <= d wherever |x_a| + |x_b| <= d, and else x_a and x_b share some change. With
+    w = (100 + percent) * |x| - (100 - percent) * n, pairs with w_a + w_b <= 0 are links for certain; the document of
+    the smallest w of a family is then linked with both, so a star around it settles them. All others meet at the first
+    common change, documents of different families at the first common shingle that several families hold.
     """
-    nodes = labelled.select("doc_id", "label").distinct()
-    e = sets.join(nodes, "doc_id").select("doc_id", "label", F.size("elements").alias("n"), F.xxhash64("elements").alias("own"), F.explode("elements").alias("s"))
-    df = e.groupBy("s").agg(F.count(F.lit(1)).alias("df"), (F.min("label") < F.max("label")).alias("mixed"))
-    ranked = e.join(df, "s").groupBy("doc_id", "label", "n", "own").agg(
-        F.sort_array(F.collect_list(F.struct("mixed", "df", "s"))).alias("all"), F.count_if("mixed").cast("int").alias("most"))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = (ranked.select("doc_id", "label", "n", "own", length.alias("len"), "most", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p"))
-              .filter("p.mixed").select("doc_id", "label", "n", "own", "most", F.col("p.s").alias("s"), (F.col("n") - F.col("at")).alias("rest"), (F.col("n") - F.col("len")).alias("tail")))
-    x, y = (prefix.select("s", *(F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "own", "most", "rest", "tail")), F.col("doc_id").alias(c)) for c in "ab")
-    # before a common shingle the documents differ by what they do not share at least
-    bound = "least(most_a, most_b, n_b - rest_b + rest_a, n_a - rest_a + rest_b)"
-    near = f"a < b AND label_a <> label_b AND (100 + {percent}) * {bound} >= {percent} * (n_a + n_b)"
-    pairs = x.join(y, "s").filter(near).groupBy("a", "b", "own_a", "own_b").agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.least("rest_a", "rest_b")).alias("rest"), F.first(F.greatest("tail_a", "tail_b")).alias("tail"),
-        F.first(F.col("n_a") + F.col("n_b")).alias("sum"))
-    return pairs.filter(f"(100 + {percent}) * least(rest, shared + tail) >= {percent} * sum").select("a", "b").distinct()
+    weight = (100 + percent) * F.size("x") - (100 - percent) * F.col("n")
+    nodes = _families(labelled)
+    members = sets.join(nodes, "doc_id").withColumn("n", F.size("elements")).withColumn("own", F.xxhash64("elements"))
+    inside = _from_base(members.filter("several")).withColumn("w", weight)
+    across = members.withColumn("x", F.col("elements")).withColumn("w", weight)
+    least = inside.groupBy("family", "salts").agg(F.min(F.struct("w", "doc_id", "label")).alias("low"))
+    spread = least.select("family", "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    star = (inside.select("family", "doc_id", "label", "w", F.pmod(F.col("own"), F.col("salts")).cast("int").alias("salt")).join(spread, ["family", "salt"])
+            .filter("w + low.w <= 0 AND label <> low.label").select(F.least("doc_id", "low.doc_id").alias("a"), F.greatest("doc_id", "low.doc_id").alias("b")))
+    return star.union(_first_common(inside, ["family"], ["label"], percent)).union(_first_common(across, [], ["label", "family"], percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -224,3 +224,41 @@ def test_near_of_several_texts_under_one_id(spark, monkeypatch, rounds):
             (7, near(base[0], 9)), (8, near(base[0], 3)), (8, near(base[0], 4))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     same(neardup.near_duplicates(df, 2, 80).collect(), brute_near(rows, 2, 80))
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_families_lose_no_component(spark, percent, monkeypatch):
+    """Copies of two bases with shared and own changes, spread over components and buckets: the pairs that reach the threshold join the same components as all of them."""
+    monkeypatch.setattr(neardup, "SALTED", 20)
+    rnd = random.Random(100 + percent)
+    sets, family = {}, {}
+    for d in range(160):
+        family[d] = rnd.randrange(2)
+        base = range(100) if family[d] else range(60, 160)
+        lost = set(rnd.sample([x for x in base if x % 4 == 0 or rnd.random() < 0.1], rnd.randrange(3, 18)))
+        sets[d] = sorted((set(base) - lost) | {rnd.choice([rnd.randrange(200, 215), rnd.randrange(1000, 9000)]) for _ in range(rnd.randrange(12))})
+    sets[500] = list(range(60, 160))
+    family[500] = 0
+    label = {d: rnd.choice([d, d, 0, 1]) for d in sets}
+    buckets = [(d, len(sets[d]), k, label[d]) for d in sets for k in range(8) if k == 7 or (k < 4) == bool(family[d])]
+    labelled = spark.createDataFrame(buckets, "doc_id long, n long, key long, label long")
+    assert neardup._families(labelled).filter("members > 20").select("family").distinct().count() == 2
+    got = {(r.a, r.b) for r in neardup._prefix_pairs(labelled, spark.createDataFrame(list(sets.items()), "doc_id long, elements array<long>"), percent).collect()}
+    pairs = {(a, b) for a in sets for b in sets if a < b and label[a] != label[b]}
+    wanted = {(a, b) for a, b in pairs if 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
+    assert wanted and got <= pairs
+
+    def components(links):
+        root = {x: x for x in label.values()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            x, y = sorted((find(label[a]), find(label[b])))
+            root[y] = x
+        return {x: find(x) for x in root}
+
+    assert components(got & wanted) == components(wanted)

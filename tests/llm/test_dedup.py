@@ -119,6 +119,32 @@ def test_bytes_whole_table(docs, doc_rows):
     same(suffixes.suffix_dedup(docs, bits=24).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), brute_bytes(doc_rows))
 
 
+def test_longest_previous_factors():
+    rnd = random.Random(8)
+    for n in (1, 2, 7, 150):
+        rows = [(rnd.randrange(3), rnd.randrange(1, 1 + n), bytes(rnd.choice(b"ab") for _ in range(rnd.choice((2, 5, 50)))).ljust(50, b"c")) for _ in range(n)]
+        rows += [(g, d + rnd.randrange(3), s) for g, d, s in rows[:n // 2]]
+        group, docs, strings = zip(*rows, strict=True)
+
+        def common(a, b):
+            return next((k for k in range(50) if a[k] != b[k]), 50)
+
+        want = [max((common(s, t) for h, e, t in rows if h == g and e < d), default=0) for g, d, s in rows]
+        got = suffixes.longest_previous_factors(np.array(group), np.array(docs), np.array([list(s) for s in strings], np.uint8))
+        assert got.tolist() == want
+
+
+def test_bytes_frequent_contents(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "FREQUENT", 3)  # read by the driver: the passage is spread over salts
+    rnd = random.Random(6)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    rows = [(k, "".join(rnd.choice("ijklmnop ") for _ in range(70)) + passage + str(k)) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffixes.suffix_dedup(df, bits=16, group=20).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    same(got, brute_bytes(rows))
+    assert sum(r.n_removed >= 120 for r in got) == 79
+
+
 def test_bytes_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 700)  # driver side; the workers cut by their own value
     rng = np.random.default_rng(3)

@@ -35,21 +35,26 @@ def filter_tiles(df: DataFrame, xmax: int | None = None, ymax: int | None = None
     return out if ymax is None or auto_range else out.filter(F.col("y") <= ymax)
 
 
-def auto_range(df: DataFrame, coord: str = "y", section_ix: int = 0, section_length: int = 6000, tile: int = 1000) -> DataFrame:
+def auto_range(df: DataFrame, coord: str = "y", section_ix: int = 0, section_length: int = 6000, tile: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
     """Tiles of one tissue section: the `section_ix`-th run of coordinates exactly one tile apart that is long enough.
 
-    If no run qualifies all tiles stay. The distinct coordinates of one axis, one row per tile row, are all a window sees.
+    If no run qualifies all tiles stay. `by` names the columns of the slide; each slide has sections of its own. The distinct
+    coordinates of one axis of a slide, one row per tile row, are all a window sees.
     """
     from pyspark.sql import Window
-    order = Window.orderBy(coord)
-    c = df.select(coord).distinct().withColumn("_new", F.coalesce((F.col(coord) - F.lag(coord).over(order) != tile).cast("int"), F.lit(0)))
-    runs = (c.withColumn("_run", F.sum("_new").over(order)).groupBy("_run")
+    order = Window.partitionBy(*by).orderBy(coord)
+    c = df.select(*by, coord).distinct().withColumn("_new", F.coalesce((F.col(coord) - F.lag(coord).over(order) != tile).cast("int"), F.lit(0)))
+    runs = (c.withColumn("_run", F.sum("_new").over(order)).groupBy(*by, "_run")
             .agg(F.min(coord).alias("lo"), F.max(coord).alias("hi"), F.count(F.lit(1)).alias("n")))
-    ranked = (runs.filter(F.col("n") >= section_length // tile).withColumn("_k", F.row_number().over(Window.orderBy("lo")) - 1)
+    ranked = (runs.filter(F.col("n") >= section_length // tile).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("lo")) - 1)
               .filter(F.col("_k") == section_ix))
-    span = runs.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pick = (ranked.select("lo", "hi", F.lit(0).alias("p")).unionByName(span.withColumn("p", F.lit(1)))
-            .agg(F.min(F.struct("p", "lo", "hi")).alias("m")))
+    span = runs.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pick = (ranked.select(*by, "lo", "hi", F.lit(0).alias("p")).unionByName(span.withColumn("p", F.lit(1)))
+            .groupBy(*by).agg(F.min(F.struct("p", "lo", "hi")).alias("m")))
+    if by:
+        limits = pick.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], "m")
+        here = [df[k].eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(by)]
+        return df.join(limits, here).filter((F.col(coord) >= F.col("m.lo")) & (F.col(coord) <= F.col("m.hi"))).select(*[df[x] for x in df.columns])
     lo, hi = pick.select("m.lo").scalar(), pick.select("m.hi").scalar()
     return df.filter((F.col(coord) >= lo) & (F.col(coord) <= hi))
 
@@ -111,17 +116,20 @@ NEIGHBOURS = {"right": (1, 0), "left": (-1, 0), "bottom": (0, 1), "top": (0, -1)
               "bottom_right": (1, 1), "bottom_left": (-1, 1), "top_right": (1, -1), "top_left": (-1, -1)}
 
 
-def neighbors(tiles: DataFrame, tile: tuple[int, int] = DEFAULT_TILE, names=tuple(NEIGHBOURS)) -> DataFrame:
-    """(name, side, neighbor): the tile at each offset, null where there is none. One equi-join on coordinates."""
+def neighbors(tiles: DataFrame, tile: tuple[int, int] = DEFAULT_TILE, names=tuple(NEIGHBOURS), by: tuple[str, ...] = ()) -> DataFrame:
+    """(name, side, neighbor): the tile at each offset, null where there is none. One equi-join on coordinates.
+
+    `by` names the columns of the slide, which come first in the result: only tiles of one slide are neighbours.
+    """
     steps = F.array(*[F.struct(F.lit(n).alias("side"), F.lit(NEIGHBOURS[n][0] * tile[0]).alias("dx"), F.lit(NEIGHBOURS[n][1] * tile[1]).alias("dy"))
                       for n in names])
-    ask = tiles.withColumn("_s", F.explode(steps)).select("name", "_s.side", (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"))
-    have = tiles.select(F.col("name").alias("neighbor"), "x", "y")
-    return ask.join(have, ["x", "y"], "left").select("name", "side", "neighbor")
+    ask = tiles.withColumn("_s", F.explode(steps)).select(*by, "name", "_s.side", (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"))
+    have = tiles.select(*by, F.col("name").alias("neighbor"), "x", "y")
+    return ask.join(have, [*by, "x", "y"], "left").select(*by, "name", "side", "neighbor")
 
 
-def adjacent(tiles: DataFrame, tile: tuple[int, int] = DEFAULT_TILE) -> DataFrame:
-    return neighbors(tiles, tile, ("left", "right", "bottom", "top"))
+def adjacent(tiles: DataFrame, tile: tuple[int, int] = DEFAULT_TILE, by: tuple[str, ...] = ()) -> DataFrame:
+    return neighbors(tiles, tile, ("left", "right", "bottom", "top"), by)
 
 
 def offset(df: DataFrame, name: str = "name", ring: str = "ring") -> DataFrame:

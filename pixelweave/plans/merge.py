@@ -16,12 +16,13 @@ STRIP = 256      # length of the border pieces on which candidates meet
 PLANE = 1 << 30  # slides have no right or bottom limit
 
 
-def split_pairs(annotations: DataFrame, tile=an.DEFAULT_TILE) -> DataFrame:
+def split_pairs(annotations: DataFrame, tile=an.DEFAULT_TILE, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of annotations that meet across a shared tile border.
 
     `annotations` holds (name, feature_id, class_id, bounds, ring) with slide coordinates. Both sides of a border carry the
     border and the pieces of it they reach as an equi-join key; the exact polygon test runs on what is left. Each border is
-    handled once. The tile whose name sorts first is the main one and gives its class.
+    handled once. The tile whose name sorts first is the main one and gives its class. `by` names the columns of the slide:
+    only annotations of one slide meet, whatever their tiles are called on others.
     """
     e = an.edge(an.with_tile(annotations), tile)
     vertical = F.col("side").isin("left", "right")
@@ -33,9 +34,9 @@ def split_pairs(annotations: DataFrame, tile=an.DEFAULT_TILE) -> DataFrame:
          .withColumn("_hi", F.when(vertical, F.col("ymax")).otherwise(F.col("xmax"))))
     e = e.withColumn("_s0", F.floor(F.col("_lo") / STRIP)).withColumn("_s", F.explode(F.sequence("_s0", F.floor((F.col("_hi") - 1) / STRIP))))
     cols = ["name", "feature_id", "class_id", "ring", "_lo", "_hi", "_s0"]
-    a = e.filter(past).select("axis", "_bx", "_by", "_s", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = e.filter(~past).select("axis", "_bx", "_by", "_s", *[F.col(c).alias(f"b_{c}") for c in cols])
-    p = a.join(b, ["axis", "_bx", "_by", "_s"]).filter(
+    a = e.filter(past).select(*by, "axis", "_bx", "_by", "_s", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = e.filter(~past).select(*by, "axis", "_bx", "_by", "_s", *[F.col(c).alias(f"b_{c}") for c in cols])
+    p = a.join(b, [*by, "axis", "_bx", "_by", "_s"]).filter(
         (F.col("_s") == F.greatest("a__s0", "b__s0")) & (F.col("a__lo") < F.col("b__hi")) & (F.col("b__lo") < F.col("a__hi")))
     p = p.filter(an.rings_meet(F.col("a_ring"), F.col("b_ring")))
     main = F.col("a_name") < F.col("b_name")
@@ -44,7 +45,7 @@ def split_pairs(annotations: DataFrame, tile=an.DEFAULT_TILE) -> DataFrame:
         yes, no = (f"a_{c}", f"b_{c}") if first else (f"b_{c}", f"a_{c}")
         return F.when(main, F.col(yes)).otherwise(F.col(no))
 
-    return p.select("axis", pick("name", True).alias("name"), pick("feature_id", True).alias("feature_id"),
+    return p.select(*by, "axis", pick("name", True).alias("name"), pick("feature_id", True).alias("feature_id"),
                     pick("class_id", True).alias("class_id"), pick("ring", True).alias("ring"), pick("name", False).alias("adj_name"),
                     pick("feature_id", False).alias("adj_feature_id"), pick("ring", False).alias("adj_ring"))
 
@@ -52,10 +53,11 @@ def split_pairs(annotations: DataFrame, tile=an.DEFAULT_TILE) -> DataFrame:
 PAIR_KEYS = ("name", "feature_id", "adj_name", "adj_feature_id")
 
 
-def union_pixels(pairs: DataFrame) -> DataFrame:
+def union_pixels(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pixels of the union of both rings of each pair."""
-    both = pairs.select(*PAIR_KEYS, F.posexplode(F.array("ring", "adj_ring")).alias("_p", "ring"))
-    return rasterize(both, [*PAIR_KEYS, "_p"]).select(*PAIR_KEYS, "y", "x").distinct()
+    keys = [*by, *PAIR_KEYS]
+    both = pairs.select(*keys, F.posexplode(F.array("ring", "adj_ring")).alias("_p", "ring"))
+    return rasterize(both, [*keys, "_p"]).select(*keys, "y", "x").distinct()
 
 
 def smoothed_rings(pixels: DataFrame, keys, radius: int = SMOOTH) -> DataFrame:
@@ -64,11 +66,11 @@ def smoothed_rings(pixels: DataFrame, keys, radius: int = SMOOTH) -> DataFrame:
     return outline(close_with_disk(moved, radius, PLANE, PLANE, keys), keys, -radius, -radius)
 
 
-def merge_split_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, radius: int = SMOOTH) -> DataFrame:
+def merge_split_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, radius: int = SMOOTH, by: tuple[str, ...] = ()) -> DataFrame:
     """One annotation per meeting pair: the smoothed union of both rings, with the class of the main tile."""
-    pairs = split_pairs(annotations, tile)
-    rings = smoothed_rings(union_pixels(pairs), PAIR_KEYS, radius)
-    return rings.join(pairs.select(*PAIR_KEYS, "class_id").distinct(), list(PAIR_KEYS)).select(*PAIR_KEYS, "class_id", "ring")
+    pairs, keys = split_pairs(annotations, tile, by), (*by, *PAIR_KEYS)
+    rings = smoothed_rings(union_pixels(pairs, by), keys, radius)
+    return rings.join(pairs.select(*keys, "class_id").distinct(), list(keys)).select(*keys, "class_id", "ring")
 
 
 def keep_inner(annotations: DataFrame, tile=an.DEFAULT_TILE) -> DataFrame:
@@ -76,16 +78,16 @@ def keep_inner(annotations: DataFrame, tile=an.DEFAULT_TILE) -> DataFrame:
     return an.non_border(an.with_tile(annotations), tile)
 
 
-def merge_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, keep_unmatched: bool = True, smooth: bool = True, radius: int = SMOOTH) -> DataFrame:
-    """(kind, name, feature_id, adj_name, adj_feature_id, class_id, ring) of a whole slide.
+def merge_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, keep_unmatched: bool = True, smooth: bool = True, radius: int = SMOOTH, by: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, name, feature_id, adj_name, adj_feature_id, class_id, ring) of a whole slide, or of every slide that `by` tells apart.
 
     Border cells without a partner are kept unless `keep_unmatched` is unset; a cell that meets two neighbours appears in
     two merged cells.
     """
     inner = keep_inner(annotations, tile)
-    pairs = split_pairs(annotations, tile)
+    pairs = split_pairs(annotations, tile, by)
     none = F.lit(None)
-    cols = ["kind", *PAIR_KEYS, "class_id", "ring"]
+    own, cols = [*by, "name", "feature_id"], ["kind", *by, *PAIR_KEYS, "class_id", "ring"]
 
     def single(df, kind):
         return (df.withColumn("kind", F.lit(kind)).withColumn("adj_name", none.cast("string"))
@@ -93,17 +95,17 @@ def merge_cells(annotations: DataFrame, tile=an.DEFAULT_TILE, keep_unmatched: bo
 
     kept = single(inner, "inner")
     if smooth:
-        px = rasterize(inner, ["name", "feature_id", "class_id"])
-        rings = smoothed_rings(px, ("name", "feature_id", "class_id"), radius)
+        px = rasterize(inner, [*own, "class_id"])
+        rings = smoothed_rings(px, (*own, "class_id"), radius)
         kept = single(rings, "inner")
-        merged = merge_split_cells(annotations, tile, radius).withColumn("kind", F.lit("merged")).select(*cols)
+        merged = merge_split_cells(annotations, tile, radius, by).withColumn("kind", F.lit("merged")).select(*cols)
     else:
         merged = pairs.withColumn("kind", F.lit("merged")).select(*cols)
     out = kept.unionByName(merged)
     if keep_unmatched:
-        used = pairs.select("name", "feature_id").union(pairs.select("adj_name", "adj_feature_id")).distinct()
-        border = an.edge(an.with_tile(annotations), tile).select("name", "feature_id").distinct()
-        lone = annotations.join(border.join(used, ["name", "feature_id"], "left_anti"), ["name", "feature_id"], "left_semi")
+        used = pairs.select(*own).union(pairs.select(*by, "adj_name", "adj_feature_id")).distinct()
+        border = an.edge(an.with_tile(annotations), tile).select(*own).distinct()
+        lone = annotations.join(border.join(used, own, "left_anti"), own, "left_semi")
         out = out.unionByName(single(lone, "unmatched"))
     return out
 
@@ -116,16 +118,16 @@ def collect_tiles(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def area_groups(annotations: DataFrame, gap: int = 1) -> DataFrame:
-    """(class_id, name, feature_id, root): areas of one class that touch after growing by `gap` share a root, across tiles."""
-    return touching_groups(annotations, ["class_id"], ["name", "feature_id"], gap)
+def area_groups(annotations: DataFrame, gap: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(slide, class_id, name, feature_id, root): areas of one slide and class that touch after growing by `gap` share a root, across tiles."""
+    return touching_groups(annotations, [*by, "class_id"], ["name", "feature_id"], gap)
 
 
-def merge_areas(annotations: DataFrame, gap: int = 1, radius: int = SMOOTH) -> DataFrame:
-    """(class_id, root, ring): outer ring of each united area, smoothed."""
-    g = area_groups(annotations, gap)
-    px = rasterize(annotations, ["class_id", "name", "feature_id"]).join(g, ["class_id", "name", "feature_id"])
-    return smoothed_rings(px.select("class_id", "root", "y", "x").distinct(), ("class_id", "root"), max(radius, gap))
+def merge_areas(annotations: DataFrame, gap: int = 1, radius: int = SMOOTH, by: tuple[str, ...] = ()) -> DataFrame:
+    """(slide, class_id, root, ring): outer ring of each united area, smoothed; `by` names the columns of the slide."""
+    keys = [*by, "class_id", "name", "feature_id"]
+    px = rasterize(annotations, keys).join(area_groups(annotations, gap, by), keys)
+    return smoothed_rings(px.select(*by, "class_id", "root", "y", "x").distinct(), (*by, "class_id", "root"), max(radius, gap))
 
 
 def explode_parts(multi: DataFrame, keys, rings: str = "rings") -> DataFrame:

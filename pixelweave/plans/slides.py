@@ -50,10 +50,21 @@ AUTO = dict(gappy=GAPPY, isl="SELECT min(y) AS lo, max(y) AS hi, count(*) AS n F
 for _k in (0, 1):
     add(f"auto_range_{_k}", lambda s, d, k=_k: an.auto_range(_gappy(s, d), "y", k, 192, 64).groupBy("y").agg(F.count(F.lit(1)).alias("n")),
         sql("SELECT y, count(*) AS n FROM gappy CROSS JOIN span WHERE y BETWEEN lo AND hi GROUP BY y", **{n: q.format(k=_k) for n, q in AUTO.items()}))
+
+# several slides in one table: customers stand for slides
+add("auto_range_by_slide", lambda s, d: an.auto_range(_gappy(s, d).withColumn("slide", F.col("x") % 3), "y", 0, 192, 64, by=("slide",)).groupBy("slide", "y").agg(F.count(F.lit(1)).alias("n")),
+    sql("""SELECT g.slide, y, count(*) AS n FROM (SELECT *, x % 3 AS slide FROM gappy) g JOIN (SELECT slide,
+          coalesce(arg_min(lo, lo) FILTER (WHERE n >= 3), min(lo)) AS lo, coalesce(arg_min(hi, lo) FILTER (WHERE n >= 3), max(hi)) AS hi FROM isl GROUP BY slide) w
+        ON w.slide = g.slide AND y BETWEEN lo AND hi GROUP BY g.slide, y""", gappy=GAPPY,
+        isl="""SELECT slide, min(y) AS lo, max(y) AS hi, count(*) AS n FROM (SELECT slide, y, y - 64 * row_number() OVER (PARTITION BY slide ORDER BY y) AS g
+          FROM (SELECT DISTINCT x % 3 AS slide, y FROM gappy) a) b GROUP BY slide, g"""))
 OFF8 = "(VALUES ('right', 64, 0), ('left', -64, 0), ('bottom', 0, 64), ('top', 0, -64), ('bottom_right', 64, 64), ('bottom_left', -64, 64), ('top_right', 64, -64), ('top_left', -64, -64)) o(side, dx, dy)"
 NBR = f"SELECT t.name, side, n.name AS neighbor FROM tiles t CROSS JOIN (SELECT * FROM {OFF8}) o LEFT JOIN tiles n ON n.x = t.x + dx AND n.y = t.y + dy"
 add("neighbors", lambda s, d: an.neighbors(fx.tiles(s, d), TILE), sql(NBR))
 add("adjacent", lambda s, d: an.adjacent(fx.tiles(s, d), TILE), sql(NBR + " WHERE side IN ('left', 'right', 'bottom', 'top')"))
+add("adjacent_by_slide", lambda s, d: an.adjacent(fx.tiles(s, d).withColumn("slide", (F.col("y") / 128).cast("int") % 2), TILE, by=("slide",)),
+    sql("WITH st AS (SELECT *, CAST((y // 128) % 2 AS INTEGER) AS slide FROM tiles) " + NBR.replace("SELECT t.name", "SELECT t.slide, t.name").replace("tiles t", "st t")
+        .replace("tiles n ON", "st n ON n.slide = t.slide AND") + " WHERE side IN ('left', 'right', 'bottom', 'top')"))
 
 # --- annotations --------------------------------------------------------------------------------------------------------------
 
@@ -108,6 +119,9 @@ add("merge_cells", lambda s, d: merge.merge_cells(fx.ring_annotations(s, d), TIL
 add("merge_cells_keep_unmatched", lambda s, d: merge.merge_cells(fx.ring_annotations(s, d), TILE, keep_unmatched=True, smooth=False).drop("ring"),
     sql(CELLS + """ UNION ALL SELECT 'unmatched', name, feature_id, NULL, NULL, class_id FROM annotations a WHERE (xmin = tx OR ymin = ty OR xmax = tx + 64 OR ymax = ty + 64)
         AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.name = a.name AND pr.feature_id = a.feature_id) AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.adj_name = a.name AND pr.adj_feature_id = a.feature_id)""", **PAIRS))
+# even and odd annotations as two slides whose tiles have the same names
+add("merge_cells_by_slide", lambda s, d: merge.merge_cells(fx.ring_annotations(s, d).withColumn("slide", F.col("feature_id") % 2), TILE, keep_unmatched=False, smooth=False, by=("slide",)).drop("ring"),
+    sql(f"SELECT feature_id % 2 AS slide, kind, {PK}, class_id FROM ({CELLS}) c WHERE adj_feature_id IS NULL OR adj_feature_id % 2 = feature_id % 2", **PAIRS))
 # outlines after smoothing; the traced points are checked in the tests
 add("merge_split_cells", lambda s, d: merge.merge_split_cells(fx.ring_annotations(s, d), TILE))
 add("collect_tiles", lambda s, d: merge.collect_tiles(fx.annotations(s, d)).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("tiles")),

@@ -197,7 +197,12 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(k: int):
+    # a second parameter, also one with a default, would be bound to the index of the element
+    return lambda s: s["kind"] == k
+
+
 def op2(spark, sf_dir):
     d = pii_spans(table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    n = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return d.select("doc_id", *n, F.sha2(F.encode(_joined(F.col("base")), "utf-8"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

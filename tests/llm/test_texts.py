@@ -123,6 +123,14 @@ def test_pii_query(spark, docs, doc_rows, sf_dir, edge, nothing):
     assert pii.pii_spans(nothing).count() == 0
 
 
+def test_pii_counts_by_kind(spark, tmp_path):
+    texts = [*HARD, "x@y.zz a@b.co c@d.ef", "+1 988 555 2485, +49 30 1234567890 +44 20 7946 0958", "10.0.0.1 a@b.co 10.0.0.2", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.queries()["op2_pii"](spark, str(tmp_path)).collect():
+        kinds = [k for _, k, _ in brute_spans(texts[r.doc_id] or "")]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in range(4)], r
+
+
 def test_pii_candidates_with_a_late_digit(spark):
     key = "k" * 90 + "7" + "q" * 20
     rows = [(1, f"token {key} end"), (2, "x " + "letters" * 20 + " 5"), (3, "path/abcde12 more")]

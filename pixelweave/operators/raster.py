@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import disk
+from ..session import spread
 from .components import connected_pixels, remove_small_components
 from .morphology import coverage
 
@@ -31,24 +32,26 @@ def rasterize(rings: DataFrame, keys, x_off=0, y_off=0, ring: str = "ring") -> D
     if "holes" in rings.columns:
         inner = F.flatten(F.transform(F.filter("holes", lambda r: F.size(r) > 1), ring_edges))
         edges = F.concat(edges, F.coalesce(inner, F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double>>")))
-    e = (rings.filter(F.size(ring) > 1).select(*keys, F.explode(edges).alias("_e"), F.lit(x_off).alias("_ox"), F.lit(y_off).alias("_oy"))
+    rings = spread(rings.filter(F.size(ring) > 1), *keys)
+    e = (rings.select(*keys, F.explode(edges).alias("_e"), F.lit(x_off).alias("_ox"), F.lit(y_off).alias("_oy"))
          if not isinstance(x_off, Column) else
-         rings.filter(F.size(ring) > 1).select(*keys, F.explode(edges).alias("_e"), x_off.alias("_ox"), y_off.alias("_oy")))
+         rings.select(*keys, F.explode(edges).alias("_e"), x_off.alias("_ox"), y_off.alias("_oy")))
     e = e.select(*keys, *[(F.col(f"_e.{c}{i}") - F.col(f"_o{c}")).alias(f"{c}{i}") for c in "xy" for i in (1, 2)])
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     flat = F.col("y1") == F.col("y2")
     first, last = F.ceil(lo).cast("int"), F.floor(hi).cast("int")
     rows = e.withColumn("y", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
     at = F.when(flat, F.col("x1")).otherwise(F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    rows = rows.withColumn("_x", at)
-    rim = rows.select(*keys, "y", F.when(flat, F.ceil(F.least("x1", "x2"))).otherwise(F.ceil(F.col("_x") - 1e-9)).cast("int").alias("a"),
-                      F.when(flat, F.floor(F.greatest("x1", "x2"))).otherwise(F.floor(F.col("_x") + 1e-9)).cast("int").alias("b"))
-    crossings = rows.filter(~flat & (F.col("y") < hi))
-    line = Window.partitionBy(*keys, "y").orderBy("_x")
-    pairs = crossings.withColumn("_next", F.lead("_x").over(line)).withColumn("_n", F.row_number().over(line)).filter("_n % 2 = 1")
-    inner = pairs.select(*keys, "y", F.ceil("_x").cast("int").alias("a"), F.floor("_next").cast("int").alias("b"))
-    spans = inner.unionByName(rim).filter("a <= b")
-    return spans.select(*keys, "y", F.explode(F.sequence("a", "b")).alias("x")).distinct()
+    rows = rows.withColumn("_x", at).withColumn("_cut", ~flat & (F.col("y") < hi))
+    a = F.when(flat, F.ceil(F.least("x1", "x2"))).otherwise(F.ceil(F.col("_x") - 1e-9)).cast("int")
+    b = F.when(flat, F.floor(F.greatest("x1", "x2"))).otherwise(F.floor(F.col("_x") + 1e-9)).cast("int")
+    # one exchange: edges that cross a row come first in it, and its pixels are made where its spans already are
+    rows = spread(rows.select(*keys, "y", "_cut", "_x", a.alias("_a"), b.alias("_b")), *keys, "y")
+    line = Window.partitionBy(*keys, "y").orderBy(F.desc("_cut"), "_x")
+    rows = rows.withColumn("_next", F.lead(F.when(F.col("_cut"), F.col("_x"))).over(line)).withColumn("_n", F.row_number().over(line))
+    inner = F.when(F.col("_cut") & (F.col("_n") % 2 == 1), F.struct(F.ceil("_x").cast("int").alias("a"), F.floor("_next").cast("int").alias("b")))
+    spans = rows.select(*keys, "y", F.explode(F.array(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")), inner)).alias("_s")).filter("_s.a <= _s.b")
+    return spans.select(*keys, "y", F.explode(F.sequence("_s.a", "_s.b")).alias("x")).distinct()
 
 
 def paint_instances(annotations: DataFrame, height: int, width: int, keys=("name",), order: str = "feature_id", min_size: int = 10,

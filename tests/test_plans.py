@@ -3,6 +3,7 @@
 import pytest
 
 from pixelweave import fixtures
+from pixelweave.operators import raster
 from pixelweave.plans.catalog import full_catalog
 from pixelweave.session import ESTIMATED, MEASURED
 
@@ -35,3 +36,10 @@ def test_no_join_is_broadcast_by_an_estimate(estimating, sf_dir, name):
 def test_pixels_are_made_after_the_rows_are_dealt(spark, sf_dir, make):
     """The explode along a line stands above an exchange of a given count, which adaptive execution keeps."""
     assert "REPARTITION_BY_NUM" in first_plan(make(spark, sf_dir)).split("Generate explode", 1)[1]
+
+
+def test_rasterized_pixels_are_not_shuffled(spark, sf_dir):
+    """The pixels of a row are made where its spans are, and nothing is dealt anew above."""
+    rings = fixtures.ring_annotations(spark, sf_dir)
+    above, below = first_plan(raster.rasterize(rings, ["name", "feature_id"])).split("Generate explode", 1)
+    assert "Exchange" not in above and "REPARTITION_BY_NUM" in below

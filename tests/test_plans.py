@@ -3,7 +3,7 @@
 import pytest
 
 from pixelweave import fixtures
-from pixelweave.operators import raster
+from pixelweave.operators import instances, raster
 from pixelweave.plans.catalog import full_catalog
 from pixelweave.session import ESTIMATED, MEASURED
 
@@ -43,3 +43,17 @@ def test_rasterized_pixels_are_not_shuffled(spark, sf_dir):
     rings = fixtures.ring_annotations(spark, sf_dir)
     above, below = first_plan(raster.rasterize(rings, ["name", "feature_id"])).split("Generate explode", 1)
     assert "Exchange" not in above and "REPARTITION_BY_NUM" in below
+
+
+def test_free_pixels_of_boxes(spark):
+    """Gaps between runs, at both ends of a line and bare lines, as the whole boxes less their objects, which are not built."""
+    cells = [(1, 0, 2), (1, 0, 3), (1, 2, 0), (1, 2, 4), (1, 2, 5), (1, 3, 1), (2, 5, 5), (None, 0, 0), (None, 1, 1), (3, 0, 0), (3, 4, 0)]
+    obj = spark.createDataFrame(cells, "inst_id int, y int, x int")
+    box = instances.bounding_box(obj, ["inst_id"])
+    got = instances._gaps(obj, box, ["inst_id"])
+    want = set()
+    for i in {c[0] for c in cells}:
+        ys, xs = [c[1] for c in cells if c[0] == i], [c[2] for c in cells if c[0] == i]
+        want |= {(i, y, x) for y in range(min(ys), max(ys) + 1) for x in range(min(xs), max(xs) + 1) if i is None or (i, y, x) not in cells}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want

@@ -24,6 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PAIRS = 1_000_000  # remembered neighbour tests
 PORTION = 1 << 20  # tokens that leave a worker at a time
 LONGEST = 100  # characters of a stretch worth remembering
+DEEP = 200  # bytes of a piece whose prefixes are looked at only when asked for, one call deep each
 ALONE = ("", -1, "")  # marks a stretch that must be split together with its neighbours
 
 
@@ -78,6 +79,7 @@ class Encoder:
         self.apart: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.size = {i: len(t) for i, t in self.token.items()}
+        self.decimal = {i: str(i) for i in self.token}
         self.right_spine, self.left_spine = lru_cache(1 << 16)(lambda t: self._spine(t, 2)), lru_cache(1 << 16)(lambda t: self._spine(t, 1))
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -102,35 +104,41 @@ class Encoder:
         return True
 
     def encode_piece(self, raw: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. A short one looks only at the prefixes its tokens lead to, a long one at all in turn."""
         last = [-1] * (len(raw) + 1)
-        apart, step, accepts = self.apart, self.step.get, self.accepts
-        for end in range(1, len(raw) + 1):
-            state, at, found = 0, end, []
-            while at:
-                at -= 1
-                state = step(state << 8 | raw[at])
-                if state is None:
-                    break
-                if accepts[state] >= 0:
-                    found.append((at, accepts[state]))
-            for at, token in reversed(found):
-                if not at:
-                    last[end] = token
-                    break
-                pair = last[at] << 32 | token
-                fits = apart.get(pair)
-                if fits is None:
-                    fits = self._remember(pair, last[at], token)
-                if fits:
-                    last[end] = token
-                    break
+        for end in (len(raw),) if len(raw) <= DEEP else range(1, len(raw) + 1):
+            self._ending(raw, last, end)
         ids, at = [], len(raw)
         while at:
             ids.append(last[at])
             at -= self.size[last[at]]
         return ids[::-1]
 
+    def _ending(self, raw: bytes, last: list[int], end: int) -> int:
+        """The token that ends the encoding of the first `end` bytes, kept in `last`."""
+        step, accepts, state, at, found = self.step.get, self.accepts, 0, end, []
+        while at:
+            at -= 1
+            state = step(state << 8 | raw[at])
+            if state is None:
+                break
+            if accepts[state] >= 0:
+                found.append((at, accepts[state]))
+        for at, token in reversed(found):
+            if not at:
+                break
+            before = last[at]
+            if before < 0:
+                before = self._ending(raw, last, at)
+            pair = before << 32 | token
+            fits = self.apart.get(pair)
+            if fits is None:
+                fits = self._remember(pair, before, token)
+            if fits:
+                break
+        last[end] = token
+        return token
+
     def _remember(self, pair: int, left: int, token: int) -> bool:
         if len(self.apart) > PAIRS:
             self.apart.clear()
@@ -139,42 +147,51 @@ class Encoder:
 
     def _chunk(self, text: str) -> tuple[str, int, str]:
         """(ids joined by commas, their number, decoded text) of a stretch that pre-tokens don't cross."""
-        ids: list[int] = []
-        for piece in self.split(text):
-            own = self.pieces.get(piece)
-            if own is None:
-                if len(self.pieces) > self.limit:
-                    self.pieces.clear()
-                own = tuple(self.encode_piece(piece.encode()))
-                if len(piece) <= LONGEST:
-                    self.pieces[piece] = own
-            ids += own
+        word = text.removeprefix(" ")
+        pieces = (text,) if word.isascii() and word.isalpha() else self.split(text)
+        if len(pieces) == 1:  # remembered as a stretch
+            ids = self.encode_piece(text.encode())
+        else:
+            ids = []
+            for piece in pieces:
+                own = self.pieces.get(piece)
+                if own is None:
+                    if len(self.pieces) > self.limit:
+                        self.pieces.clear()
+                    own = tuple(self.encode_piece(piece.encode()))
+                    if len(piece) <= LONGEST:
+                        self.pieces[piece] = own
+                ids += own
         decoded = b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
-        return ",".join(map(str, ids)), len(ids), text if decoded == text else decoded  # one string where they are equal
+        return ",".join(map(self.decimal.__getitem__, ids)), len(ids), text if decoded == text else decoded  # one string where they are equal
 
     def _parts(self, text: str) -> list[tuple[str, int, str]]:
         """Encoded stretches of a text without special tokens.
 
         A single blank between other signs always starts a pre-token, so what lies between blanks is encoded once and
-        remembered. A blank beside white space or at an edge does not; such texts are split by the pattern as a whole.
+        remembered by what follows its blank. A blank beside white space or at an edge does not; such texts are split by the
+        pattern as a whole.
         """
         first, *rest = text.split(" ")
-        parts = [first, *[" " + x for x in rest]]
-        out = list(map(self.known.get, parts))
+        out = list(map(self.known.get, rest))
         if None in out:
             if len(self.known) > self.limit:
                 self.known.clear()
-                out = [None] * len(parts)
-            for k, x in enumerate(out):
-                if x is None:
-                    out[k] = self.known.get(parts[k]) or self._learn(parts[k])
-        return [self._chunk(x) for x in self.split(text)] if ALONE in out else out
-
-    def _learn(self, part: str) -> tuple[str, int, str]:
-        body = part.removeprefix(" ")
-        out = ALONE if not body or body[0].isspace() or body[-1].isspace() else self._chunk(part)
-        if len(part) <= LONGEST:
-            self.known[part] = out
+                out = [None] * len(rest)
+            k = -1
+            for _ in range(out.count(None)):
+                k = out.index(None, k + 1)
+                out[k] = self.known.get(rest[k]) or self._learn(rest[k])
+        head = self._whole("", first)
+        return [self._chunk(x) for x in self.split(text)] if ALONE in out or head is ALONE else [head, *out]
+
+    def _whole(self, blank: str, body: str) -> tuple[str, int, str]:
+        return ALONE if not body or body[0].isspace() or body[-1].isspace() else self._chunk(blank + body)
+
+    def _learn(self, body: str) -> tuple[str, int, str]:
+        out = self._whole(" ", body)
+        if len(body) < LONGEST:
+            self.known[body] = out
         return out
 
     def encode(self, text: str) -> tuple[str, int, str]:

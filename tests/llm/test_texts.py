@@ -1,6 +1,7 @@
 """Toxicity, personal data, decontamination, BPE, media, licenses and token counts against brute force, round trips and held-out rows."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelweave.llm import bpe, decontamination, licenses, media, pii, queries, token_counts, toxicity
+from pixelweave.llm.common import WordHashes
 
 
 def by_row(df):
@@ -487,3 +489,26 @@ def test_index_by_length_finds_what_a_scan_finds(spark):
         assert set(ix.within(prints, n)) == want
     want = {(i, j) for i, j in zip(*np.nonzero(apart <= decontamination.RADIUS)) if ix.words[j] > 7}
     assert set(ix.longer(prints, 7, 5)) == want
+
+
+def test_bpe_looks_only_at_prefixes_asked_for():
+    e = bpe.Encoder(bpe.default_vocabulary())
+    looked = []
+    ending = e._ending
+    e._ending = lambda raw, last, end: looked.append(end) or ending(raw, last, end)
+    (token,) = e.encode_piece(b" international")
+    assert e.token[token] == b" international" and looked == [14]  # one token: no other prefix matters
+    rnd = random.Random(3)
+    for n in (bpe.DEEP - 1, bpe.DEEP, bpe.DEEP + 1):
+        raw = bytes(rnd.choice(b"aeioulnrst") for _ in range(n))
+        short = e.encode_piece(raw)
+        whole = [-1] * (n + 1)
+        for end in range(1, n + 1):
+            ending(raw, whole, end)
+        assert short[-1] == whole[n] and b"".join(map(e.token.get, short)) == raw
+
+
+def test_bpe_remembers_a_stretch_once():
+    e = bpe.Encoder(bpe.default_vocabulary())
+    assert e.encode("so zyxwvut, so zyxwvut wvutsrq")[2] == "so zyxwvut, so zyxwvut wvutsrq"
+    assert " wvutsrq" not in e.pieces and "wvutsrq" in e.known

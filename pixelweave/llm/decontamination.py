@@ -6,7 +6,8 @@ window costs the same. Fingerprints are cut into 8 blocks of 16 bits; two finger
 block to RADIUS // 8 bits, and the index holds every item under all block values that close, so one look-up per block finds
 all fingerprints within the radius. What is found is confirmed by the exact weighted Jaccard similarity.
 
-Windows that hold no shingle of any item have similarity 0 to all of them; they are passed over before fingerprinting.
+A window is similar enough only if shingles of items make up that share of its weight; all others are passed over before
+fingerprinting.
 
 A text shorter than an item has no such window. With `short` the whole text is one window for all longer items.
 """
@@ -141,7 +142,10 @@ def scan(index: Index, words: list[bytes], hashes: np.ndarray, least: float, sho
         hit = known[place] == h
         if not hit.any():
             continue
-        if short and len(words) < max(n for n in index.lengths if min(SHINGLE, n) == size):
+        # weights up to each shingle, and of those that items hold: a window has no more than these in common with an item
+        weight, shared = (np.concatenate([[0], np.cumsum(x)]) for x in (w, w * hit))
+        share = least * (1 - 1e-9)
+        if short and len(words) < max(n for n in index.lengths if min(SHINGLE, n) == size) and shared[-1] >= share * weight[-1]:
             whole = _bag(h, w)
             for _, item in index.longer(window_fingerprints(h, w, len(h)), len(words), size):
                 s = similarity(whole, index.bags[item])
@@ -159,12 +163,16 @@ def scan(index: Index, words: list[bytes], hashes: np.ndarray, least: float, sho
             cuts = np.flatnonzero(np.diff(at) >= reach) + 1
             for part in np.split(at, cuts):
                 a, z = max(lo, int(part[0]) - reach + 1), min(hi, int(part[-1]) + reach)
-                sums = _running(h[a:z], w[a:z])
+                sums = None
                 for n in lengths:
                     span = n - size + 1
                     if z - a < span:
                         continue
-                    starts = np.flatnonzero(before[a + span:z + 1] > before[a:z + 1 - span])
+                    enough = shared[a + span:z + 1] - shared[a:z + 1 - span] >= share * (weight[a + span:z + 1] - weight[a:z + 1 - span])
+                    starts = np.flatnonzero(enough & (before[a + span:z + 1] > before[a:z + 1 - span]))
+                    if not len(starts):
+                        continue
+                    sums = _running(h[a:z], w[a:z]) if sums is None else sums
                     prints = _window_prints(sums, span)[starts]
                     for k, item in index.within(prints, n):
                         first = a + int(starts[k])

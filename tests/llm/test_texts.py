@@ -512,3 +512,15 @@ def test_bpe_remembers_a_stretch_once():
     e = bpe.Encoder(bpe.default_vocabulary())
     assert e.encode("so zyxwvut, so zyxwvut wvutsrq")[2] == "so zyxwvut, so zyxwvut wvutsrq"
     assert " wvutsrq" not in e.pieces and "wvutsrq" in e.known
+
+
+def test_decontamination_passes_over_light_windows(monkeypatch):
+    words = [f"word{k}" for k in range(60)]
+    index = decontamination.Index([(1, " ".join(words))])
+    scan = lambda text: decontamination.scan(index, own := decontamination.words_of(text), WordHashes()(own), 0.8, True)
+    assert scan("x " * 40 + " ".join(words[:58]) + " y y " * 40)[0][0] >= 0.8
+    made = []
+    running = decontamination._running
+    monkeypatch.setattr(decontamination, "_running", lambda h, w: made.append(len(h)) or running(h, w))
+    assert scan("x " * 80 + " ".join(words[:9]) + " y" * 80) == {}
+    assert made == []  # five shingles of 56 cannot reach the threshold

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, table, texts
+from .common import map_rows, memory, table, texts
 
 # Fixed value: the public pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,14 +209,12 @@ class Encoder:
         return ",".join(ids), sum(n), "".join(decoded)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file, with what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    known = memory("bpe")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def _portions(enc: Encoder, batch, digest: bool, decode: bool):
@@ -261,7 +259,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, digest: bool = False, d
         for b in batches:
             yield from _portions(enc, b, digest, decode)
 
-    return map_rows(texts(docs), run, f"doc_id long, n_tokens long, ids {'string' if digest else 'array<int>'}, decoded string")
+    return map_rows(texts(docs), run, f"doc_id long, n_tokens long, ids {'string' if digest else 'array<int>'}, decoded string", "bpe")
 
 
 def op7(spark, sf_dir):

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, table, texts
+from .common import map_rows, memory, table, texts
 
 MARK = "▁"
 
@@ -66,14 +66,12 @@ class TrieCounter:
             known[word] = (score[-1], count[-1])
 
 
-_COUNTERS: dict[str, TrieCounter] = {}
-
-
 def counter(path: str) -> TrieCounter:
     """One counter for each worker process and vocabulary, with what it remembers."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TrieCounter(piece_scores(path))
-    return _COUNTERS[path]
+    known = memory("token_counts")
+    if path not in known:
+        known[path] = TrieCounter(piece_scores(path))
+    return known[path]
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -98,7 +96,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 log_prob.append(float(sum(s)))
             yield {"doc_id": b.column(0), "n_words": n_words, "n_tokens": n_tokens, "log_prob": log_prob}
 
-    return map_rows(texts(docs), run, "doc_id long, n_words long, n_tokens long, log_prob double")
+    return map_rows(texts(docs), run, "doc_id long, n_words long, n_tokens long, log_prob double", "token_counts")
 
 
 def op10(spark, sf_dir):

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, texts
+from .common import map_rows, memory, table, texts
 
 MAX_TRAIN = 50_000  # labelled rows a model is fitted on at most (lowest hashes of doc_id)
 BUCKETS = 1 << 20  # feature buckets
@@ -240,11 +240,11 @@ class Features:
     def shared(cls, model: np.ndarray, strings: frozenset[str] | None = None) -> Features:
         """One object for each worker process, character model and set of kept features, with what it remembers."""
         name = hash((model.tobytes(), strings))
-        if name not in _FEATURES:
-            while len(_FEATURES) > 1:
-                _FEATURES.pop(next(iter(_FEATURES)))
-            _FEATURES[name] = cls(model)
-        return _FEATURES[name]
+        known = memory("toxicity")
+        if name not in known:
+            known.clear()
+            known[name] = cls(model)
+        return known[name]
 
     @staticmethod
     def of_words(text: str) -> tuple[int, ...]:
@@ -292,9 +292,6 @@ class Features:
         return tuple({parts.bucket[p] for w in words for p in (w, w[:4], w[:5], w[:6]) if p in parts.strings}) if words else ()
 
 
-_FEATURES: dict[int, Features] = {}
-
-
 @dataclass
 class ToxicityModel:
     characters: np.ndarray
@@ -348,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
         k = np.flatnonzero(every)
         yield {"bucket": k, "toxic": toxic[k], "n": every[k]}
 
-    counts = map_rows(rows, count, "bucket int, toxic long, n long").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("n").alias("n")).persist()
+    counts = map_rows(rows, count, "bucket int, toxic long, n long", "toxicity").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("n").alias("n")).persist()
     whole = counts.filter(F.col("bucket") == BUCKETS).first()
     t_all, n_all = (whole.t, whole.n) if whole else (0, 0)
     base = (t_all + 0.5) / (n_all + 1)
@@ -367,7 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
             found |= features.spelled(b.column(0).to_pylist(), keep)
         yield {"string": sorted(found)}
 
-    spelled = map_rows(rows.filter("toxic = 1").select("text"), spell, "string string").distinct().collect()  # the words of BUCKETS buckets at most
+    spelled = map_rows(rows.filter("toxic = 1").select("text"), spell, "string string", "toxicity").distinct().collect()  # the words of BUCKETS buckets at most
     model.strings = frozenset(r.string for r in spelled)
 
     def tally(batches):
@@ -380,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
                 found[key] = found.get(key, 0) + 1
         yield {"total": [k[0] for k in found], "toxic": [k[1] for k in found], "n": list(found.values())}
 
-    cells = map_rows(rows, tally, "total double, toxic int, n long").groupBy("total", "toxic").agg(F.sum("n").alias("n")).collect()  # 122 rows at most
+    cells = map_rows(rows, tally, "total double, toxic int, n long", "toxicity").groupBy("total", "toxic").agg(F.sum("n").alias("n")).collect()  # 122 rows at most
     model.slope, model.offset = _logistic(np.array([(r.total, r.toxic, r.n) for r in cells], float))
     return model
 
@@ -413,7 +410,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for b in batches:
             yield {"doc_id": b.column(0), "score": m.scores(features, (t.as_py() for t in b.column(1)))}
 
-    return map_rows(texts(docs), run, "doc_id long, score double")
+    return map_rows(texts(docs), run, "doc_id long, score double", "toxicity")
 
 
 def score_column(docs: DataFrame, model: ToxicityModel, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import Counter
 
@@ -524,3 +525,19 @@ def test_decontamination_passes_over_light_windows(monkeypatch):
     monkeypatch.setattr(decontamination, "_running", lambda h, w: made.append(len(h)) or running(h, w))
     assert scan("x " * 80 + " ".join(words[:9]) + " y" * 80) == {}
     assert made == []  # five shingles of 56 cannot reach the threshold
+
+
+def test_a_worker_holds_what_one_operator_remembers(spark):
+    uniform = np.full((27, 27, 27), -3.0)
+    encoder = weakref.ref(bpe.encoder(bpe.default_vocabulary()))
+    assert bpe.encoder(bpe.default_vocabulary()) is encoder()
+    training = weakref.ref(toxicity.Features.shared(uniform))
+    assert encoder() is None and training() is not None
+    scoring = weakref.ref(toxicity.Features.shared(uniform, frozenset({"word"})))
+    assert training() is None and toxicity.Features.shared(uniform, frozenset({"word"})) is scoring()
+    bpe.memory("")
+    assert scoring() is None
+    held = lambda batches: ({"n": [len(bpe.memory("bpe"))]} for _ in batches)
+    rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string").coalesce(1)
+    bpe.bpe_encode(rows).collect()
+    assert [r.n for r in bpe.map_rows(rows, held, "n int").collect()] == [0]  # another step, perhaps in the same worker

@@ -32,6 +32,14 @@ def test_no_join_is_broadcast_by_an_estimate(estimating, sf_dir, name):
     assert estimating.conf.get(MEASURED) == "10MB"
 
 
+@pytest.mark.parametrize("name", [
+    "dataset_mean_std", "distance_map", "explode_parts", "export_annotations", "filter2d", "finalize_types", "float2ubyte", "flood", "flood_forest",
+    "follow_flows", "gaussian_filter", "label_sem_map", "local_mean", "merge_areas", "minmax_normalize", "mse", "naive_step", "naive_thresh_prob"])
+def test_nothing_is_collected_for_a_broadcast_by_an_estimate(estimating, sf_dir, name):
+    """Among the joins of the last plan, staged tables included, which a file's size makes look small."""
+    assert "BroadcastExchange" not in first_plan(QUERIES[name](estimating, sf_dir))
+
+
 @pytest.mark.parametrize("make", [fixtures.pixels, fixtures.image_pixels])
 def test_pixels_are_made_after_the_rows_are_dealt(spark, sf_dir, make):
     """The explode along a line stands above an exchange of a given count, which adaptive execution keeps."""

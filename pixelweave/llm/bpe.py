@@ -25,6 +25,8 @@ PAIRS = 1_000_000  # remembered neighbour tests
 PORTION = 1 << 20  # tokens that leave a worker at a time
 LONGEST = 100  # characters of a stretch worth remembering
 DEEP = 200  # bytes of a piece whose prefixes are looked at only when asked for, one call deep each
+HEADS, HEAD = 200_000, 8  # remembered beginnings of pieces, and their bytes at most
+LATIN = "\u024f"  # up to here the letters of `str.isalpha` are those of the pattern, whatever the Unicode version
 ALONE = ("", -1, "")  # marks a stretch that must be split together with its neighbours
 
 
@@ -77,6 +79,7 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.limit, self.known = limit, {}
         self.apart: dict[int, bool] = {}
+        self.heads: dict[bytes, list[int]] = {}  # ids of beginnings, from the last on
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.size = {i: len(t) for i, t in self.token.items()}
         self.decimal = {i: str(i) for i in self.token}
@@ -108,11 +111,30 @@ class Encoder:
         last = [-1] * (len(raw) + 1)
         for end in (len(raw),) if len(raw) <= DEEP else range(1, len(raw) + 1):
             self._ending(raw, last, end)
-        ids, at = [], len(raw)
+        return self._back(raw, last, len(raw))[::-1]
+
+    def _back(self, raw: bytes, last: list[int], at: int) -> list[int]:
+        """Ids of the first `at` bytes from the last on, along the tokens kept in `last` to a remembered beginning."""
+        ids = []
         while at:
-            ids.append(last[at])
-            at -= self.size[last[at]]
-        return ids[::-1]
+            token = last[at]
+            if token < 0:
+                return ids + self._head(raw, last, at)
+            ids.append(token)
+            at -= self.size[token]
+        return ids
+
+    def _head(self, raw: bytes, last: list[int], end: int) -> list[int]:
+        """`_back` of a short beginning; pieces begin alike, so it is remembered."""
+        head = raw[:end]
+        ids = self.heads.get(head)
+        if ids is None:
+            self._ending(raw, last, end)
+            ids = self._back(raw, last, end)
+            if len(self.heads) >= HEADS:
+                self.heads.clear()
+            self.heads[head] = ids
+        return ids
 
     def _ending(self, raw: bytes, last: list[int], end: int) -> int:
         """The token that ends the encoding of the first `end` bytes, kept in `last`."""
@@ -129,7 +151,7 @@ class Encoder:
                 break
             before = last[at]
             if before < 0:
-                before = self._ending(raw, last, at)
+                before = self._head(raw, last, at)[0] if at <= HEAD else self._ending(raw, last, at)
             pair = before << 32 | token
             fits = self.apart.get(pair)
             if fits is None:
@@ -148,7 +170,7 @@ class Encoder:
     def _chunk(self, text: str) -> tuple[str, int, str]:
         """(ids joined by commas, their number, decoded text) of a stretch that pre-tokens don't cross."""
         word = text.removeprefix(" ")
-        pieces = (text,) if word.isascii() and word.isalpha() else self.split(text)
+        pieces = (text,) if word.isalpha() and (word.isascii() or max(word) <= LATIN) else self.split(text)
         if len(pieces) == 1:  # remembered as a stretch
             ids = self.encode_piece(text.encode())
         else:

@@ -509,6 +509,25 @@ def test_bpe_looks_only_at_prefixes_asked_for():
         assert short[-1] == whole[n] and b"".join(map(e.token.get, short)) == raw
 
 
+def test_bpe_remembers_how_pieces_begin(monkeypatch):
+    e, plain = bpe.Encoder(bpe.default_vocabulary()), bpe.Encoder(bpe.default_vocabulary())
+    looked = []
+    ending = e._ending
+    e._ending = lambda raw, last, end: looked.append(end) or ending(raw, last, end)
+    first = e.encode_piece(b" zxqvzxqv")
+    assert len(first) > 2 and len(looked) > 2
+    looked.clear()
+    assert e.encode_piece(b" zxqvzxqv") == first and looked == [9]  # only the end, its beginnings are known
+    monkeypatch.setattr(bpe, "HEADS", 20)
+    rnd = random.Random(4)
+    for n in [*range(1, 30), bpe.DEEP + 3] * 10:
+        raw = bytes(rnd.choice(b" aeioulnrst\xc3\xa9.0") for _ in range(n))
+        plain.heads.clear()
+        assert e.encode_piece(raw) == plain.encode_piece(raw) and len(e.heads) <= 20
+    for c in map(chr, range(ord(bpe.LATIN) + 1)):  # letters that need no splitting are those of the pattern
+        assert c.isalpha() == (e.split("a" + c) == ["a" + c])
+
+
 def test_bpe_remembers_a_stretch_once():
     e = bpe.Encoder(bpe.default_vocabulary())
     assert e.encode("so zyxwvut, so zyxwvut wvutsrq")[2] == "so zyxwvut, so zyxwvut wvutsrq"

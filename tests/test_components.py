@@ -103,3 +103,17 @@ def test_fewer_than_two_typed_instances_give_no_types(spark):
                                "image_id int, inst_id int, cx double, cy double, type_id int")
     got = {(r.image_id, r.inst_id): r.type_id for r in instances.nearest_typed_fill(df, cell=4.0).collect()}
     assert got == {(0, 1): 0, (0, 2): 0, (1, 1): 3, (1, 2): 4, (1, 3): 4}
+
+
+def test_contraction_ends_with_stars(spark, monkeypatch):
+    written = []
+    add = graph.Stages.add
+    monkeypatch.setattr(graph.Stages, "add", lambda self, df: written.append(1) or add(self, df))
+    edges = lambda rows: spark.createDataFrame(rows, "image_id int, a long, b long")
+    got = {tuple(r) for r in graph.graph_components(edges([(1, 5, 1), (1, 1, 7), (1, 5, 1), (2, 9, 8), (None, 4, 3), (2, None, 8), (2, 6, 6)])).collect()}
+    assert got == {(1, 5, 1), (1, 7, 1), (1, 1, 1), (2, 9, 8), (2, 8, 8)}
+    assert len(written) == 1  # stars from the start take no round
+    written.clear()
+    got = {tuple(r) for r in graph.graph_components(edges([(1, 1, 2), (1, 2, 3), (1, 5, 3)])).collect()}
+    assert got == {(1, k, 1) for k in (1, 2, 3, 5)} and len(written) % 2 == 1 and len(written) < 7  # no round to see that nothing changes
+    assert graph.graph_components(edges([])).count() == 0

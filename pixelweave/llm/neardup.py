@@ -202,12 +202,13 @@ def _from_base(members: DataFrame) -> DataFrame:
     return dealt.withColumn("x", F.coalesce(apart, F.col("elements"))).drop("base", "salt")
 
 
-def _first_common(members: DataFrame, keys: list[str], differ: list[str], percent: int) -> DataFrame:
+def _first_common(members: DataFrame, keys: list[str], differ: list[str], percent: int, stages: Stages) -> DataFrame:
     """(a, b) of members (doc_id, label, family, n, own, x, w) of equal `keys` that differ in the columns `differ`, whose sets x
     may have a first common shingle that leaves the threshold in reach.
 
     Shingles are ordered from the rarest on, those that no pair can share first. What stands before the first common one
     differs, so both places together are at most the greatest difference; and from there on both have the needed overlap.
+    The rows that meet are staged: they are few beside all shingles, and both sides of the join read them.
     """
     e = members.select("doc_id", "label", "family", "n", "own", "w", F.size("x").alias("size"), F.explode("x").alias("s"))
     useful = F.lit(True)
@@ -219,14 +220,17 @@ def _first_common(members: DataFrame, keys: list[str], differ: list[str], percen
     reach = F.floor((100 - percent) * (F.col("n") + F.col("n") * 100 / percent) / (100 + percent)).cast("int") + 1
     prefix = (ranked.select("doc_id", "label", "family", "n", "own", "w", "size", F.posexplode(F.slice("all", F.lit(1), reach)).alias("at", "p"))
               .filter("p.useful").select("doc_id", "label", "family", "n", "own", "w", "at", F.col("p.s").alias("s"), (F.col("size") - F.col("at")).alias("rest")))
+    prefix = stages.add(prefix)
     own = [c for c in ("label", "family", "n", "own", "w", "at", "rest") if c not in keys]
     x, y = (prefix.select("s", *keys, *(F.col(v).alias(f"{v}_{c}") for v in own), F.col("doc_id").alias(c)) for c in "ab")
     near = " AND ".join(["a < b", *(f"{c}_a <> {c}_b" for c in differ), f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)", "w_a + w_b > 0",
                          f"(100 + {percent}) * (at_a + at_b) <= (100 - {percent}) * (n_a + n_b)", f"2 * (100 + {percent}) * least(rest_a, rest_b) >= w_a + w_b"])
-    return x.join(y, [*keys, "s"]).filter(near).select("a", "b").distinct()
+    pairs = stages.add(x.join(y, [*keys, "s"]).filter(near).select("a", "b").distinct())
+    stages.drop(prefix)
+    return pairs
 
 
-def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int, stages: Stages | None = None) -> DataFrame:
     """(a, b) of different components that can reach the threshold.
 
     Copies of one text with changes of their own share nearly all of it, so their common shingles tell nothing. Inside a
@@ -236,16 +240,22 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     the smallest w of a family is then linked with both, so a star around it settles them. All others meet at the first
     common change, documents of different families at the first common shingle that several families hold.
     """
+    stages = stages or Stages()
     weight = (100 + percent) * F.size("x") - (100 - percent) * F.col("n")
-    nodes = _families(labelled)
-    members = sets.join(nodes, "doc_id").withColumn("n", F.size("elements")).withColumn("own", F.xxhash64("elements"))
-    inside = _from_base(members.filter("several")).withColumn("w", weight)
-    across = members.withColumn("x", F.col("elements")).withColumn("w", weight)
+    nodes = stages.add(_families(labelled))
+    # staged one after another, so that the shuffles of a step are gone before the next one begins
+    members = stages.add(sets.join(nodes, "doc_id").withColumn("n", F.size("elements")).withColumn("own", F.xxhash64("elements")))
+    stages.drop(nodes)
+    inside = stages.add(_from_base(members.filter("several")).withColumn("w", weight).drop("elements"))
     least = inside.groupBy("family", "salts").agg(F.min(F.struct("w", "doc_id", "label")).alias("low"))
     spread = least.select("family", "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    star = (inside.select("family", "doc_id", "label", "w", F.pmod(F.col("own"), F.col("salts")).cast("int").alias("salt")).join(spread, ["family", "salt"])
-            .filter("w + low.w <= 0 AND label <> low.label").select(F.least("doc_id", "low.doc_id").alias("a"), F.greatest("doc_id", "low.doc_id").alias("b")))
-    return star.union(_first_common(inside, ["family"], ["label"], percent)).union(_first_common(across, [], ["label", "family"], percent)).distinct()
+    star = stages.add(inside.select("family", "doc_id", "label", "w", F.pmod(F.col("own"), F.col("salts")).cast("int").alias("salt")).join(spread, ["family", "salt"])
+                      .filter("w + low.w <= 0 AND label <> low.label").select(F.least("doc_id", "low.doc_id").alias("a"), F.greatest("doc_id", "low.doc_id").alias("b")))
+    near = _first_common(inside, ["family"], ["label"], percent, stages)
+    stages.drop(inside)
+    far = _first_common(members.withColumn("x", F.col("elements")).withColumn("w", weight), [], ["label", "family"], percent, stages)
+    stages.drop(members)
+    return star.union(near).union(far).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -281,7 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             stages.drop(past)
             if labelled.isEmpty():
                 break
-        pairs = _hub_pairs(labelled, k, percent) if k < HUB_ROUNDS else _prefix_pairs(labelled, sets, percent)
+        pairs = _hub_pairs(labelled, k, percent) if k < HUB_ROUNDS else _prefix_pairs(labelled, sets, percent, stages)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stages.add(pairs)

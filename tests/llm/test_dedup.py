@@ -199,6 +199,20 @@ def test_prefix_rule_misses_no_pair(spark, percent):
     assert wanted and wanted <= got <= set(pairs)
 
 
+def test_prefix_rule_goes_step_by_step(spark, monkeypatch):
+    """No single plan holds all its shuffles at once, and large tables of its steps are gone at the end."""
+    added, dropped, shuffles = [], [], lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    add, drop = neardup.Stages.add, neardup.Stages.drop
+    monkeypatch.setattr(neardup.Stages, "add", lambda self, df: added.append((shuffles(df), add(self, df))) or added[-1][1])
+    monkeypatch.setattr(neardup.Stages, "drop", lambda self, *x: dropped.extend(x) or drop(self, *x))
+    sets = [(d, [*range(40), 100 + d]) for d in range(12)]
+    labelled = spark.createDataFrame([(d, len(e), d % 3, d) for d, e in sets], "doc_id long, n long, key long, label long")
+    pairs = neardup._prefix_pairs(labelled, spark.createDataFrame(sets, "doc_id long, elements array<long>"), 80)
+    assert max([shuffles(pairs), *(n for n, _ in added)]) <= 12
+    assert all(any(t is x for x in dropped) for _, t in added if "elements" in t.columns or "x" in t.columns)
+    assert {x for r in pairs.collect() for x in r} == set(range(12))
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):

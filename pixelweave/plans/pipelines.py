@@ -100,20 +100,30 @@ add("process_semantic", lambda s, d: _sizes(segment.process_semantic(
 # --- streams -------------------------------------------------------------------------------------------------------------------
 
 
-def _pieces(s, df, n: int = 4) -> str:
+CHUNKS = 4
+
+
+def _pieces(s, df, n: int = CHUNKS) -> str:
     """Store a table as `n` files, the chunks in which a stream meets it."""
     path = scratch(s)
     df.repartition(n).write.parquet(path)
     return path
 
 
+def _chunked(s, df, n: int = CHUNKS):
+    """A stream that meets a table in at most `n` chunks of the files in which its tasks store it: nothing is shuffled for that."""
+    path = scratch(s)
+    df.write.parquet(path)
+    return running.stream_table(s, path, max(1, -(-len(s.read.parquet(path).inputFiles()) // n)))
+
+
 def _run(query):
     query.awaitTermination()
 
 
 def _stats(s, d):
-    src, target = _pieces(s, fx.channels_long(fx.image_pixels(s, d))), scratch(s)
-    _run(running.keep_state(running.stream_stats(running.stream_table(s, src)), target, scratch(s)))
+    src, target = _chunked(s, fx.channels_long(fx.image_pixels(s, d))), scratch(s)
+    _run(running.keep_state(running.stream_stats(src), target, scratch(s)))
     return rounded(running.final_state(s, target), 4)
 
 

@@ -73,7 +73,8 @@ def to_features(df: DataFrame, class_name: str = "class_name", ring: str = "ring
 
 
 def write_geojson(df: DataFrame, path: str, by: tuple[str, ...] = (), **kw) -> None:
-    """Feature lines below `path`, in one folder per value of `by`."""
-    out = to_features(df, keep=by, **kw)
+    """Feature lines below `path`, in one folder per value of `by`. The rows of a folder are brought together
+    first, unless they are too many for a task, so that its files are few."""
+    out = to_features(df.hint("rebalance", *by) if by else df, keep=by, **kw)
     w = out.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).text(path)

@@ -122,3 +122,22 @@ def test_stream_chunks_are_not_dealt_anew(spark, tmp_path):
     q = src.writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(q.recentProgress) <= 5 and spark.table("chunks").count() == 100
+
+
+def test_a_folder_of_features_is_one_file(spark, tmp_path):
+    """Rows of a tile that lie in many tasks are written to one file, whole."""
+    from pixelweave.sources import geojson
+
+    a = fixtures.ring_annotations(spark, _tables(spark, tmp_path, [(k,) for k in range(4)], [(k, 1 + k % 50) for k in range(80)]))
+    rows = a.withColumn("class_name", F.lit("one")).withColumn("tile", F.col("name")).repartition(8)
+    geojson.write_geojson(rows, f"{tmp_path}/out", by=("tile",))
+    files = spark.read.text(f"{tmp_path}/out").select(F.input_file_name().alias("f"), "tile").groupBy("tile").agg(F.countDistinct("f").alias("files"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) == 4 and all(r.files == 1 and r.n == 20 for r in files)
+
+
+def test_areas_are_grouped_by_their_spans(measured, sf_dir):
+    """Pixels are made once, for the components; rings find theirs by the first pixel of each span."""
+    from pixelweave.operators import raster
+
+    groups = raster.touching_groups(fixtures.ring_annotations(measured, sf_dir), ["class_id"], ["name", "feature_id"])
+    assert "Generate explode(sequence(" not in plan(groups)
